@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.constants import ENGLISH_STOP_WORDS
 from quire.functions import patterns as P
 from quire.functions.scalars import let
 
@@ -52,14 +52,10 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(P.WORDS_OF_TWO), F.lit(0))
 
 
-def english_stop_words() -> list[str]:
-    """Spark's English list. It is shorter than the one the original relies on,
-    so every caller may pass its own."""
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
-def drop_stop_words(tokens: Column, stop_words: Sequence[str] | None = None) -> Column:
-    listed = list(english_stop_words() if stop_words is None else stop_words)
+def drop_stop_words(tokens: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Column:
+    """Tokens that are not listed. Spark's list is shorter than some libraries'
+    English lists, so callers may pass their own."""
+    listed = list(stop_words)
     return F.filter(tokens, lambda token: ~token.isin(listed))
 
 

@@ -107,7 +107,7 @@ def describe_counts(df: DataFrame, column: str, round_to: int | None = 2) -> Dat
     )
     n, total = F.sum("n"), F.sum(F.col("x") * F.col("n"))
     square = F.sum(F.col("x") * F.col("x") * F.col("n"))
-    quartile = F.percentile("x", list(QUARTILES), "n")
+    quartile = F.percentile("x", list(QUARTILES), F.col("n"))
     stats = weighted.agg(
         n.alias("count"),
         (total / n).alias("mean"),

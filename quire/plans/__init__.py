@@ -1,4 +1,4 @@
 """The registered queries, grouped by what they exercise."""
 
-from quire.plans import ingest  # noqa: F401
+from quire.plans import corpus, ingest, textual  # noqa: F401
 from quire.plans.registry import REGISTRY  # noqa: F401

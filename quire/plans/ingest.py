@@ -62,7 +62,8 @@ def json_lines(spark, sf_dir):
     with_views(PAPERS)
     + """, opening AS (SELECT id, update_date, author, title, abstract, categories, journal, doi,
   general_category FROM papers ORDER BY id LIMIT 1)
-SELECT name AS key, value FROM (UNPIVOT INCLUDE NULLS opening ON COLUMNS(*) INTO NAME name VALUE value)""",
+SELECT key, value FROM opening UNPIVOT INCLUDE NULLS (value FOR key IN (id, update_date, author,
+  title, abstract, categories, journal, doi, general_category))""",
 )
 def peek(spark, sf_dir):
     return ops.peek(papers(spark, sf_dir))
