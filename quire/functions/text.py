@@ -25,12 +25,12 @@ TWO_PART_WORDS = [tuple(line.split("|")) for line in _TWO_PART_WORDS.strip().spl
 
 def clean_letters(text: Column) -> Column:
     """ASCII letters in lower case, everything else one blank."""
-    return F.trim(F.lower(F.regexp_replace(text, "[^a-zA-Z]+", " ")))
+    return F.trim(F.lower(F.regexp_replace(text, P.NON_LETTERS, " ")))
 
 
 def clean_alphanumerics(text: Column) -> Column:
     """ASCII letters and digits in lower case, everything else one blank."""
-    return F.trim(F.lower(F.regexp_replace(text, "[^a-zA-Z0-9]+", " ")))
+    return F.trim(F.lower(F.regexp_replace(text, P.NON_ALPHANUMERICS, " ")))
 
 
 def long_word_text(text: Column, longer_than: int = 2) -> Column:
@@ -47,6 +47,11 @@ def lower_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(P.LOWER_TOKENS), F.lit(0))
 
 
+def alphanumeric_tokens(text: Column) -> Column:
+    """Words of the alphanumeric cleaning."""
+    return F.regexp_extract_all(clean_alphanumerics(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
 def word_tokens(text: Column) -> Column:
     """Lower-cased runs of at least two word characters."""
     return F.regexp_extract_all(F.lower(text), F.lit(P.WORDS_OF_TWO), F.lit(0))

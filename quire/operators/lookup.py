@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT = 64 * 1024 * 1024
+BROADCAST_LIMIT = 256 * 1024 * 1024
 SALTS = 16
 
 
+def fits_broadcast(
+    dictionary: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_LIMIT
+) -> bool:
+    """Whether a written dictionary is small enough to send to every executor;
+    the count reads file footers."""
+    return dictionary.count() * row_bytes <= limit
+
+
 def lookup(
     facts: DataFrame,
     dictionary: DataFrame,
@@ -21,13 +29,12 @@ def lookup(
 ) -> DataFrame:
     """Join ``facts`` to ``dictionary`` on ``key``.
 
-    The dictionary is counted first (it should be a written table, so the count
-    reads file footers). Up to ``limit`` bytes it is broadcast and the facts stay
-    where they are. Beyond that both sides shuffle, and since one key may hold a
-    third of the facts, every key is spread over ``salts`` partitions: a fact
-    takes the salt of its ``spread_by`` value, a dictionary row goes to all.
+    Up to ``limit`` bytes the dictionary is broadcast and the facts stay where
+    they are. Beyond that both sides shuffle, and since one key may hold a third
+    of the facts, every key is spread over ``salts`` partitions: a fact takes the
+    salt of its ``spread_by`` value, a dictionary row goes to all.
     """
-    if dictionary.count() * row_bytes <= limit:
+    if fits_broadcast(dictionary, row_bytes, limit):
         return facts.join(F.broadcast(dictionary), key, how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     spread = dictionary.withColumn(

@@ -21,7 +21,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
@@ -31,12 +30,16 @@ from quire.constants import CLUSTERS
 from quire.operators.lookup import lookup
 from quire.operators.ordering import extreme_terms, sample_n, top_n_per_group
 from quire.operators.tfidf import TfidfModel
+from quire.operators.vectors import sum_vectors, vector_width
 
 
-def features(model: TfidfModel, docs: DataFrame, label: str | None = None) -> DataFrame:
-    """(id, features[, label]) for MLlib from tokenised documents."""
+def features(
+    model: TfidfModel, docs: DataFrame, label: str | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(id, features[, label]) for MLlib from tokenised documents; ``keep`` names
+    further columns to carry."""
     vectors = model.vectorizer().transform(docs)
-    columns = [model.id_col, "features"]
+    columns = [model.id_col, "features", *keep]
     if label is not None:
         vectors = vectors.withColumn("label", F.col(label).cast("double"))
         columns.append("label")
@@ -158,10 +161,11 @@ def svd_basis(df: DataFrame, k: int = 50) -> tuple[DataFrame, list[float]]:
 
 def svd_scores(weights: DataFrame, basis: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, scores): each document's weights times the loadings of its terms."""
-    joined = lookup(weights, basis, "idx", id_col, row_bytes=1024)
-    return joined.groupBy(id_col).agg(
-        Summarizer.sum(array_to_vector("loadings"), F.col("tfidf")).alias("_sum")
-    ).select(id_col, vector_to_array("_sum").alias("scores"))
+    width = vector_width(basis, "loadings")
+    joined = lookup(weights, basis, "idx", id_col, row_bytes=64 + 8 * width)
+    return sum_vectors(joined, id_col, "loadings", "tfidf", width).withColumnRenamed(
+        "loadings", "scores"
+    )
 
 
 def component_terms(basis: DataFrame, terms: DataFrame, n: int = 15) -> DataFrame:

@@ -93,8 +93,12 @@ def authors_per_paper(papers: DataFrame) -> DataFrame:
 
 
 def exploded_authors(papers: DataFrame, *keep: str) -> DataFrame:
-    """One row per paper and author; ``keep`` names further columns to carry."""
-    return with_authors(papers).select(*keep, F.explode("author_clean").alias("author"))
+    """One row per paper and author; ``keep`` names further columns to carry.
+
+    The outer form with a filter behind it: with the plain one the planner would
+    clean every author string again to test for empty lists."""
+    rows = with_authors(papers).select(*keep, F.explode_outer("author_clean").alias("author"))
+    return rows.where(F.col("author").isNotNull())
 
 
 def category_slice(df: DataFrame, category: str, column: str = "general_category") -> DataFrame:

@@ -81,10 +81,14 @@ def describe_num(df: DataFrame, column: str, round_to: int | None = 2) -> DataFr
     numeric column. Nulls are left out."""
     q = exact_quantiles(df, column)
     x = F.col(column).cast("double")
-    pivoted = q.agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in QUARTILES]
-    )
-    quartile = {f"p{int(p * 100)}": pivoted.select(f"p{int(p * 100)}").scalar() for p in QUARTILES}
+    quartiles = q.agg(
+        F.struct(
+            *[
+                F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"p{int(p * 100)}")
+                for p in QUARTILES
+            ]
+        )
+    ).scalar()
     stats = df.agg(
         F.count(x).alias("count"),
         F.avg(x).alias("mean"),
@@ -93,8 +97,9 @@ def describe_num(df: DataFrame, column: str, round_to: int | None = 2) -> DataFr
         F.max(x).alias("max"),
     )
     columns = {name: F.col(name) for name in ("count", "mean", "std", "min")}
-    columns |= quartile | {"max": F.col("max")}
-    return stats.select(*_profile_columns(round_to, columns))
+    columns |= {f"p{int(p * 100)}": F.col(f"q.p{int(p * 100)}") for p in QUARTILES}
+    columns |= {"max": F.col("max")}
+    return stats.withColumn("q", quartiles).select(*_profile_columns(round_to, columns))
 
 
 def describe_counts(df: DataFrame, column: str, round_to: int | None = 2) -> DataFrame:

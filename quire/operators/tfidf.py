@@ -14,9 +14,9 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.lookup import lookup
+from quire.operators.lookup import fits_broadcast, lookup
 from quire.operators.ordering import dense_position, top_n_per_group
-from quire.operators.tokens import term_counts
+from quire.operators.tokens import exploded, term_counts
 from quire.session import materialise
 
 MAX_MODEL_TERMS = 2_000_000
@@ -32,10 +32,20 @@ class TfidfModel:
 
     def transform(self, docs: DataFrame) -> DataFrame:
         """(id, term, idx, tfidf) in long form; unseen terms have no row."""
-        counts = term_counts(docs, self.tokens, self.id_col)
-        raw = lookup(counts, self.terms, "term", self.id_col).withColumn(
-            "raw", F.col("tf") * F.col("idf")
-        )
+        terms = self.terms.select("term", "idx", "idf")
+        if fits_broadcast(terms):
+            # Unknown terms drop out before anything moves; the one shuffle, by
+            # document, serves both the counting and the norm.
+            known = lookup(exploded(docs, self.tokens, self.id_col), terms, "term", self.id_col)
+            counts = (
+                known.repartition(self.id_col)
+                .groupBy(self.id_col, "term", "idx", "idf")
+                .agg(F.count("*").alias("tf"))
+            )
+        else:
+            counted = term_counts(docs, self.tokens, self.id_col)
+            counts = lookup(counted, terms, "term", self.id_col)
+        raw = counts.withColumn("raw", F.col("tf") * F.col("idf"))
         length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(self.id_col)))
         return raw.select(self.id_col, "term", "idx", (F.col("raw") / length).alias("tfidf"))
 
@@ -75,7 +85,7 @@ def fit_tfidf(
     """
     n_docs = docs.agg(F.count("*")).scalar()
     freq = (
-        docs.select(F.explode(F.array_distinct(tokens)).alias("term"))
+        exploded(docs, F.array_distinct(tokens))
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
@@ -92,8 +102,10 @@ def fit_tfidf(
             (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"),
         )
     )
-    terms = dense_position(kept, "term", "idx").select("term", "idx", "df", "idf")
-    return TfidfModel(materialise(terms, "tfidf"), id_col, tokens)
+    # Numbering reads its input several times, so the counts are written first.
+    numbered = dense_position(materialise(kept, "frequencies"), "term", "idx")
+    terms = materialise(numbered.select("term", "idx", "df", "idf"), "tfidf")
+    return TfidfModel(terms, id_col, tokens)
 
 
 def matrix_minimum(weights: DataFrame, docs: DataFrame) -> DataFrame:

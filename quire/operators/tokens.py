@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.constants import MAX_TOKENS
-from quire.functions.stem import stem
+from quire.functions.stem import with_stem
 from quire.operators.lookup import lookup
 from quire.operators.ordering import dense_position
+from quire.operators.vectors import sum_vectors, vector_width
 from quire.session import materialise
 
 # Ids of the marker tokens; words follow from FIRST_WORD on.
@@ -18,12 +17,19 @@ PAD, UNKNOWN, START, END = 0, 1, 2, 3
 FIRST_WORD = 4
 
 
+def exploded(docs: DataFrame, tokens: Column | str, *keep: str, name: str = "term") -> DataFrame:
+    """One row per token. The outer form with a filter behind it, because the
+    plain one makes the planner test the array in front of the generator and
+    tokenise every text again for that."""
+    return docs.select(*keep, F.explode_outer(tokens).alias(name)).where(F.col(name).isNotNull())
+
+
 def term_counts(docs: DataFrame, tokens: str = "tokens", id_col: str = "id") -> DataFrame:
     """(id, term, tf). A document's tokens lie in one task, so the partial
     aggregate already yields its counts and the shuffle moves one row per
     distinct term."""
     return (
-        docs.select(id_col, F.explode(tokens).alias("term"))
+        exploded(docs, tokens, id_col)
         .groupBy(id_col, "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -31,8 +37,8 @@ def term_counts(docs: DataFrame, tokens: str = "tokens", id_col: str = "id") ->
 
 def stem_table(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(token, stem) for every distinct token, written once."""
-    distinct = docs.select(F.explode(F.array_distinct(tokens)).alias("token")).distinct()
-    return materialise(distinct.select("token", stem(F.col("token")).alias("stem")), "stems")
+    distinct = exploded(docs, F.array_distinct(tokens), name="token").distinct()
+    return materialise(with_stem(distinct), "stems")
 
 
 def stem_documents(docs: DataFrame, tokens: str = "tokens", id_col: str = "id") -> DataFrame:
@@ -53,8 +59,9 @@ def stem_documents(docs: DataFrame, tokens: str = "tokens", id_col: str = "id")
 
 def vocabulary(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(term, idx): every distinct term and its place in sorted order, written."""
-    terms = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).distinct()
-    return materialise(dense_position(terms, "term", "idx"), "vocabulary")
+    terms = exploded(docs, F.array_distinct(tokens)).distinct()
+    # Numbering reads its input several times, so the terms are written first.
+    return materialise(dense_position(materialise(terms, "terms"), "term", "idx"), "vocabulary")
 
 
 def encode_tokens(
@@ -95,25 +102,23 @@ def encode_tokens(
 
 
 def mean_pool(
-    counts: DataFrame,
+    docs: DataFrame,
     vectors: DataFrame,
+    tokens: str = "tokens",
     id_col: str = "id",
-    weight: str = "tf",
     vector: str = "vector",
-    row_bytes: int = 1024,
 ) -> DataFrame:
     """(id, vector): mean of the vectors of a document's tokens.
 
-    ``counts`` has (id, term, weight), ``vectors`` has (term, vector). Whole
-    vectors are averaged, with partial sums before the shuffle, so rows are not
-    multiplied by the vector's width. Terms without a vector are left out. The
-    token vectors are an input; no encoder runs here, and no marker tokens enter
-    the mean.
+    ``docs`` has (id, tokens), ``vectors`` has (term, vector) and should be a
+    written table. With a broadcast dictionary a document's tokens never leave
+    their task, so its sums are complete before the one shuffle. Tokens without
+    a vector are left out. The token vectors are an input; no encoder runs here,
+    and no marker tokens enter the mean.
     """
-    known = lookup(counts, vectors, "term", id_col, row_bytes=row_bytes)
-    pooled = known.groupBy(id_col).agg(
-        Summarizer.mean(
-            array_to_vector(F.col(vector).cast("array<double>")), F.col(weight).cast("double")
-        ).alias("_mean")
-    )
-    return pooled.select(id_col, vector_to_array("_mean").alias(vector))
+    width = vector_width(vectors, vector)
+    placed = exploded(docs, tokens, id_col)
+    known = lookup(placed, vectors, "term", id_col, row_bytes=64 + 8 * width)
+    summed = sum_vectors(known, id_col, vector, None, width, total="_n")
+    mean = F.transform(vector, lambda x: x / F.col("_n"))
+    return summed.select(id_col, mean.alias(vector))

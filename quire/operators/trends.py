@@ -10,6 +10,7 @@ from quire.functions import scalars
 from quire.operators.joins import select_series
 from quire.operators.ordering import top_n_per_group
 from quire.operators.papers import exploded_authors, with_trend_year
+from quire.operators.tokens import exploded
 
 
 def year_categories(papers: DataFrame) -> DataFrame:
@@ -32,8 +33,7 @@ def year_authors(papers: DataFrame) -> DataFrame:
 def year_words(papers: DataFrame) -> DataFrame:
     """Occurrences of each abstract word per year, case kept."""
     return (
-        with_trend_year(papers)
-        .select("year", F.explode(scalars.words(F.col("abstract"))).alias("word"))
+        exploded(with_trend_year(papers), scalars.words(F.col("abstract")), "year", name="word")
         .groupBy("year", "word")
         .agg(F.count("*").alias("count"))
     )

@@ -20,6 +20,7 @@ from quire.plans.views import (
     papers,
     with_views,
 )
+from quire.session import spread_small
 
 TREND_YEARS = list(range(1991, 2020))
 
@@ -357,7 +358,7 @@ def year_authors(spark, sf_dir):
   (SELECT year, unnest(regexp_extract_all(abstract, '{NON_SPACE_CLASS}+')) AS word FROM dated) GROUP BY ALL""",
 )
 def year_words(spark, sf_dir):
-    return trends.year_words(papers(spark, sf_dir))
+    return trends.year_words(spread_small(papers(spark, sf_dir)))
 
 
 WIDE = ", ".join(

@@ -11,11 +11,12 @@ from quire.operators import ordering, profile, tfidf, tokens
 from quire.plans.registry import query, table
 from quire.plans.corpus import SPLIT
 from quire.plans.views import NON_SPACE_CLASS, PAPERS, papers, with_views
-from quire.session import materialise
+from quire.session import materialise, spread_small
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    return spread_small(df)
 
 
 # Cleaning -----------------------------------------------------------------------
@@ -121,8 +122,8 @@ def max_tokens(spark, sf_dir):
 
 def _clean_tokens(spark, sf_dir):
     """Alphanumeric words of the cleaned text."""
-    clean = text.clean_alphanumerics(F.col("text"))
-    return documents(spark, sf_dir).select("id", "lang", scalars.words(clean).alias("tokens"))
+    words = text.alphanumeric_tokens(F.col("text"))
+    return documents(spark, sf_dir).select("id", "lang", words.alias("tokens"))
 
 
 ENCODED = f"""WITH docs AS (SELECT doc_id AS id,
@@ -421,7 +422,7 @@ def mean_pool(spark, sf_dir):
     vectors = tokens.vocabulary(docs).withColumn("vec_id", F.col("idx") % n_vectors).join(
         given.select("vec_id", F.col("embedding").alias("vector")), "vec_id"
     )
-    pooled = tokens.mean_pool(tokens.term_counts(docs), materialise(vectors.select("term", "vector"), "vectors"))
+    pooled = tokens.mean_pool(docs, materialise(vectors.select("term", "vector"), "vectors"))
     return pooled.select("id", F.posexplode("vector").alias("dim", "value")).withColumn(
         "value", F.round("value", 6)
     )
