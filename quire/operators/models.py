@@ -159,12 +159,17 @@ def svd_basis(df: DataFrame, k: int = 50) -> tuple[DataFrame, list[float]]:
     return table, [float(v) for v in result.s]
 
 
-def svd_scores(weights: DataFrame, basis: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, scores): each document's weights times the loadings of its terms."""
+def svd_scores(
+    weights: DataFrame, basis: DataFrame, docs: DataFrame, id_col: str = "id"
+) -> DataFrame:
+    """(id, scores): each document's weights times the loadings of its terms.
+    ``docs`` names all documents; one without terms scores 0 everywhere."""
     width = vector_width(basis, "loadings")
     joined = lookup(weights, basis, "idx", id_col, row_bytes=64 + 8 * width)
-    return sum_vectors(joined, id_col, "loadings", "tfidf", width).withColumnRenamed(
-        "loadings", "scores"
+    sums = sum_vectors(joined, id_col, "loadings", "tfidf", width)
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return docs.select(id_col).join(sums, id_col, "left").select(
+        id_col, F.coalesce("loadings", zeros).alias("scores")
     )
 
 

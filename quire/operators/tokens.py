@@ -113,12 +113,13 @@ def mean_pool(
     ``docs`` has (id, tokens), ``vectors`` has (term, vector) and should be a
     written table. With a broadcast dictionary a document's tokens never leave
     their task, so its sums are complete before the one shuffle. Tokens without
-    a vector are left out. The token vectors are an input; no encoder runs here,
-    and no marker tokens enter the mean.
+    a vector are left out; a document with no other tokens gets a null vector.
+    The token vectors are an input; no encoder runs here, and no marker tokens
+    enter the mean.
     """
     width = vector_width(vectors, vector)
-    placed = exploded(docs, tokens, id_col)
-    known = lookup(placed, vectors, "term", id_col, row_bytes=64 + 8 * width)
+    placed = docs.select(id_col, F.explode_outer(tokens).alias("term"))
+    known = lookup(placed, vectors, "term", id_col, row_bytes=64 + 8 * width, how="left")
     summed = sum_vectors(known, id_col, vector, None, width, total="_n")
     mean = F.transform(vector, lambda x: x / F.col("_n"))
-    return summed.select(id_col, mean.alias(vector))
+    return summed.select(id_col, F.when(F.col("_n") > 0, mean).alias(vector))

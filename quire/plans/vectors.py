@@ -151,4 +151,4 @@ def project_2d(spark, sf_dir):
     vectors = models.features(model, docs)
     basis, _ = models.svd_basis(vectors, 50)
     _, clusters = models.kmeans(vectors, seed=5)
-    return models.project_2d(models.svd_scores(model.transform(docs), basis), clusters)
+    return models.project_2d(models.svd_scores(model.transform(docs), basis, docs), clusters)
