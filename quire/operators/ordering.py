@@ -97,6 +97,16 @@ def shuffled(df: DataFrame, seed: int) -> DataFrame:
     return df.orderBy(F.rand(seed))
 
 
+def bucket_of(value: str, borders: str) -> Column:
+    """How many of the sorted ``borders`` do not exceed the value.
+
+    Declared free of nulls, or a join on the bucket would make the planner test
+    it for null on every input row.
+    """
+    below = F.filter(borders, lambda border: border <= F.col(value))
+    return F.coalesce(F.size(below), F.lit(0))
+
+
 def dense_position(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     """Add the zero-based place of each row in the order of a unique ``key``.
 
@@ -109,9 +119,7 @@ def dense_position(df: DataFrame, key: str, name: str = "position") -> DataFrame
     borders = picked.agg(F.sort_array(F.collect_set(key))).scalar()
     bucketed = (
         df.withColumn("_borders", borders)
-        .withColumn(
-            "_bucket", F.size(F.filter("_borders", lambda border: border <= F.col(key)))
-        )
+        .withColumn("_bucket", bucket_of(key, "_borders"))
         .drop("_borders")
     )
     # One row per bucket, so this window stays small.

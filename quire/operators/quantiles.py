@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ordering import bucket_of
+
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -26,7 +28,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float] = QUARTIL
     cut_points = [i / parts for i in range(1, parts)] or [0.5]
     borders = values.agg(F.percentile_approx("x", cut_points, 1000)).scalar()
     bucketed = counts.withColumn("_borders", borders).select(
-        "x", "n", F.size(F.filter("_borders", lambda border: border <= F.col("x"))).alias("bucket")
+        "x", "n", bucket_of("x", "_borders").alias("bucket")
     )
     # One row per bucket.
     whole = Window.partitionBy()

@@ -1,4 +1,8 @@
-"""Yearly counts, top lists per year and the series behind the trend charts."""
+"""Yearly counts, top lists per year and the series behind the trend charts.
+
+The functions on counts read them several times: pass a written table (see
+``quire.session.materialise``), so that the corpus is cleaned and counted once.
+"""
 
 from __future__ import annotations
 

@@ -20,11 +20,21 @@ from quire.plans.views import (
     papers,
     with_views,
 )
-from quire.session import spread_small
+from quire.session import materialise, spread_small
 
 TREND_YEARS = list(range(1991, 2020))
 
 
+def written_year_authors(spark, sf_dir):
+    """The yearly author counts as a written table: small next to the corpus, and
+    read several times by the queries on top lists."""
+    return materialise(trends.year_authors(papers(spark, sf_dir)), "year_authors")
+
+
+def written_year_categories(spark, sf_dir):
+    return materialise(trends.year_categories(papers(spark, sf_dir)), "year_categories")
+
+
 # Joins -------------------------------------------------------------------------
 
 
@@ -102,7 +112,7 @@ def align(spark, sf_dir):
   row_number() OVER (PARTITION BY year ORDER BY count DESC, author) AS r FROM year_authors) WHERE r <= 3)""",
 )
 def select_series(spark, sf_dir):
-    counts = trends.year_authors(papers(spark, sf_dir))
+    counts = written_year_authors(spark, sf_dir)
     return joins.select_series(counts, trends.pooled_top(counts, 3), "author")
 
 
@@ -202,7 +212,7 @@ def describe_category_sizes(spark, sf_dir):
     + f"(SELECT len(regexp_extract_all(abstract, '{NON_SPACE_CLASS}+')) AS x FROM papers)",
 )
 def describe_abstract_words(spark, sf_dir):
-    counted = papers(spark, sf_dir).select(scalars.word_count(F.col("abstract"), True).alias("n"))
+    counted = spread_small(papers(spark, sf_dir)).select(scalars.word_count(F.col("abstract"), True).alias("n"))
     return quantiles.describe_counts(counted, "n")
 
 
@@ -314,7 +324,7 @@ FROM bins LEFT JOIN words ON x >= bin * 50 AND (x < (bin + 1) * 50 OR (bin = 5 A
 GROUP BY bin""",
 )
 def hist_abstract_words(spark, sf_dir):
-    counted = papers(spark, sf_dir).select(scalars.word_count(F.col("abstract"), True).alias("n_words"))
+    counted = spread_small(papers(spark, sf_dir)).select(scalars.word_count(F.col("abstract"), True).alias("n_words"))
     return histograms.hist_clipped(counted, "n_words")
 
 
@@ -424,7 +434,7 @@ SELECT *, (row_number() OVER (PARTITION BY year ORDER BY count DESC, general_cat
 FROM filled""",
 )
 def rank_categories_per_year(spark, sf_dir):
-    return trends.rank_categories_per_year(trends.year_categories(papers(spark, sf_dir)))
+    return trends.rank_categories_per_year(written_year_categories(spark, sf_dir))
 
 
 @query(
@@ -446,7 +456,7 @@ SELECT y.year, p.author, k.count FROM (SELECT DISTINCT year FROM year_authors) y
 LEFT JOIN year_authors k ON k.year = y.year AND k.author = p.author ORDER BY y.year, p.author""",
 )
 def top_author_series(spark, sf_dir):
-    return trends.top_author_series(trends.year_authors(papers(spark, sf_dir)))
+    return trends.top_author_series(written_year_authors(spark, sf_dir))
 
 
 @query(
@@ -457,7 +467,7 @@ CROSS JOIN (SELECT DISTINCT general_category FROM year_categories) c
 LEFT JOIN year_categories k ON k.year = y.year AND k.general_category = c.general_category""",
 )
 def category_series(spark, sf_dir):
-    return trends.category_series(trends.year_categories(papers(spark, sf_dir)))
+    return trends.category_series(written_year_categories(spark, sf_dir))
 
 
 # Order, samples, splits ---------------------------------------------------------
