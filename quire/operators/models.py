@@ -6,7 +6,8 @@ Three of these stand in for solvers Spark does not have and say so.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.ml import Model
@@ -31,6 +32,26 @@ from quire.operators.lookup import lookup
 from quire.operators.ordering import extreme_terms, sample_n, top_n_per_group
 from quire.operators.tfidf import TfidfModel
 from quire.operators.vectors import sum_vectors, vector_width
+from quire.session import materialise
+
+
+ROWS_PER_TASK = 5_000
+
+
+@contextmanager
+def _training_rows(df: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """Cached training rows and their number.
+
+    Every step of a solver is one job, so tasks with a handful of rows would
+    cost more than they compute: small inputs are merged to ``ROWS_PER_TASK``.
+    """
+    kept = df.persist()
+    rows = kept.count()
+    tasks = max(1, -(-rows // ROWS_PER_TASK))
+    try:
+        yield (kept.coalesce(tasks) if tasks < kept.rdd.getNumPartitions() else kept), rows
+    finally:
+        kept.unpersist()
 
 
 def features(
@@ -53,27 +74,35 @@ def dense_features(df: DataFrame, vector: str) -> DataFrame:
 def logistic_regression(train: DataFrame, max_iter: int = 5000, tol: float = 1e-4) -> LogisticRegressionModel:
     """Multinomial, L2 with inverse strength 1 over the whole sum of losses,
     which is ``1 / rows`` for a mean of losses."""
-    rows = train.count()
-    return LogisticRegression(
-        family="multinomial", regParam=1.0 / rows, standardization=False, maxIter=max_iter, tol=tol
-    ).fit(train)
+    with _training_rows(train) as (data, rows):
+        return LogisticRegression(
+            family="multinomial",
+            regParam=1.0 / rows,
+            standardization=False,
+            maxIter=max_iter,
+            tol=tol,
+        ).fit(data)
 
 
 def support_vectors(train: DataFrame, max_iter: int = 100) -> OneVsRestModel:
     """One linear support-vector machine per class. A linear stand-in: Spark has
     no kernel solver, so boundaries differ from an RBF machine's."""
-    rows = train.count()
-    base = LinearSVC(regParam=1.0 / rows, standardization=False, maxIter=max_iter)
-    return OneVsRest(classifier=base, parallelism=4).fit(train)
+    with _training_rows(train) as (data, rows):
+        base = LinearSVC(regParam=1.0 / rows, standardization=False, maxIter=max_iter)
+        return OneVsRest(classifier=base, parallelism=4).fit(data)
 
 
 def binary_models(train: DataFrame, max_iter: int = 5000, tol: float = 1e-4) -> OneVsRestModel:
     """One yes/no logistic model per class, in label order (``.models``)."""
-    rows = train.count()
-    base = LogisticRegression(
-        family="binomial", regParam=1.0 / rows, standardization=False, maxIter=max_iter, tol=tol
-    )
-    return OneVsRest(classifier=base, parallelism=4).fit(train)
+    with _training_rows(train) as (data, rows):
+        base = LogisticRegression(
+            family="binomial",
+            regParam=1.0 / rows,
+            standardization=False,
+            maxIter=max_iter,
+            tol=tol,
+        )
+        return OneVsRest(classifier=base, parallelism=4).fit(data)
 
 
 def perceptron(
@@ -83,9 +112,10 @@ def perceptron(
     """A classifier head with hidden layers on fixed document vectors. The
     encoder below the head is not trained; a head without hidden layers is
     ``logistic_regression``."""
-    return MultilayerPerceptronClassifier(
-        layers=[n_features, *hidden, n_classes], seed=seed, maxIter=max_iter
-    ).fit(train)
+    with _training_rows(train) as (data, _):
+        return MultilayerPerceptronClassifier(
+            layers=[n_features, *hidden, n_classes], seed=seed, maxIter=max_iter
+        ).fit(data)
 
 
 def score(model: Model, df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -132,7 +162,8 @@ def class_terms(
 
 def kmeans(df: DataFrame, k: int = CLUSTERS, seed: int = 5, max_iter: int = 20) -> tuple[KMeansModel, DataFrame]:
     """Model and (id, cluster) of the training rows."""
-    model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(df)
+    with _training_rows(df) as (data, _):
+        model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(data)
     return model, model.transform(df).select("id", F.col("prediction").alias("cluster"))
 
 
@@ -147,16 +178,16 @@ def svd_basis(df: DataFrame, k: int = 50) -> tuple[DataFrame, list[float]]:
 
     Each component's sign is set so that its largest loading is positive.
     """
-    vectors = MLUtils.convertVectorColumnsFromML(df.select("features"), "features").persist()
-    result = RowMatrix(vectors).computeSVD(k, computeU=False)
-    basis = result.V.toArray()
-    vectors.unpersist()
+    vectors = MLUtils.convertVectorColumnsFromML(df.select("features"), "features")
+    with _training_rows(vectors) as (data, _):
+        result = RowMatrix(data).computeSVD(k, computeU=False)
+        basis = result.V.toArray()
     largest = np.abs(basis).argmax(axis=0)
     signs = np.sign(basis[largest, np.arange(basis.shape[1])])
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(basis * signs)]
     spark = df.sparkSession
     table = spark.createDataFrame(rows, "idx bigint, loadings array<double>")
-    return table, [float(v) for v in result.s]
+    return materialise(table, "basis"), [float(v) for v in result.s]
 
 
 def svd_scores(

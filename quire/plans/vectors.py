@@ -148,7 +148,7 @@ def svd_terms(spark, sf_dir):
 @query("T15 T17")
 def project_2d(spark, sf_dir):
     docs, model = stemmed_weights(spark, sf_dir)
-    vectors = models.features(model, docs)
+    vectors = materialise(models.features(model, docs), "features")
     basis, _ = models.svd_basis(vectors, 50)
     _, clusters = models.kmeans(vectors, seed=5)
     return models.project_2d(models.svd_scores(model.transform(docs), basis, docs), clusters)
