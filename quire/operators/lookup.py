@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import materialise
+
 BROADCAST_LIMIT = 256 * 1024 * 1024
-SALTS = 16
 
 
 def fits_broadcast(
@@ -17,6 +18,21 @@ def fits_broadcast(
     return dictionary.count() * row_bytes <= limit
 
 
+def hot_keys(facts: DataFrame, key: str, tasks: int) -> DataFrame:
+    """(key, _salts): keys with more rows than an even task would get, and the
+    number of tasks they need. Fewer than ``tasks`` keys can be hot, and the
+    salts of all of them add up to less than twice ``tasks``."""
+    counts = materialise(
+        facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")), "key_counts"
+    )
+    load = F.col("_n") * tasks / F.col("_total")
+    return (
+        counts.withColumn("_total", counts.agg(F.sum("_n")).scalar())
+        .where(load > 1)
+        .select(key, F.ceil(load).cast("int").alias("_salts"))
+    )
+
+
 def lookup(
     facts: DataFrame,
     dictionary: DataFrame,
@@ -25,19 +41,25 @@ def lookup(
     row_bytes: int = 64,
     how: str = "inner",
     limit: int = BROADCAST_LIMIT,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join ``facts`` to ``dictionary`` on ``key``.
 
     Up to ``limit`` bytes the dictionary is broadcast and the facts stay where
-    they are. Beyond that both sides shuffle, and since one key may hold a third
-    of the facts, every key is spread over ``salts`` partitions: a fact takes the
-    salt of its ``spread_by`` value, a dictionary row goes to all.
+    they are. Beyond that both sides shuffle. One key may hold a third of the
+    facts, so keys are counted first and each hot key is spread over as many
+    salts as its share of the tasks: a fact takes the salt of its ``spread_by``
+    value, the dictionary row of a hot key goes to every salt. Facts without a
+    key, which match nothing, are spread over all tasks.
     """
     if fits_broadcast(dictionary, row_bytes, limit):
         return facts.join(F.broadcast(dictionary), key, how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    spread = dictionary.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = materialise(hot_keys(facts, key, tasks), "hot_keys")
+    salts = F.when(F.col(key).isNull(), F.lit(tasks)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = facts.join(F.broadcast(hot), key, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int")
     )
-    return salted.join(spread, [key, "_salt"], how).drop("_salt")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    spread = dictionary.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies))
+    joined = salted.drop("_salts").join(spread.drop("_salts"), [key, "_salt"], how)
+    return joined.drop("_salt")

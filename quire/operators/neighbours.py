@@ -8,16 +8,21 @@ block in NumPy and only the k best of each block leave the task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.ordering import top_n_per_group
 
+# The helpers below travel to the workers with the tasks that call them, so the
+# package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 8192
 MAX_PIVOTS = 256
 MIN_PIVOTS = 8

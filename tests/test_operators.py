@@ -97,6 +97,11 @@ def test_salted_lookup_equals_broadcast_lookup(spark):
         assert small.agg(F.sum("v")).first() == large.agg(F.sum("v")).first()
 
 
+def test_hot_keys_are_few_and_get_their_share(spark):
+    facts = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    assert rows(lookup.hot_keys(facts, "k", 10)) == [(-1, 4)]
+
+
 # Profiles and histograms --------------------------------------------------------
 
 
