@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import quality
+from quire.llm import bpe, quality
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +51,13 @@ SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b"""
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger, base verdict and verdict of the newest policy for every document."""
     return quality.apply_policy(quality.ledger(read(spark, sf_dir, "documents")))
+
+
+@query()
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the ids of every whole text, and of what they decode to."""
+    return bpe.digests(
+        read(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
