@@ -13,8 +13,13 @@ digests of their bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNSTEP = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -109,3 +114,92 @@ class Words:
         """One hash per word."""
         running = running_hash(byte_values(np.frombuffer(self.joined, np.uint8)))
         return spans(running, self.starts, self.ends)
+
+
+# --- tables of blocks -------------------------------------------------------
+
+#: Up to so many document keys are sent to every task to pick the documents that a
+#: later step needs (16 bytes each); beyond that the texts are joined by a shuffle.
+SENT_KEYS = 1_000_000
+KEY = ["id", "print"]
+
+
+def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, print, text): ``print`` tells texts of one id apart; a null text is empty."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
+
+
+def id_type(docs: DataFrame) -> str:
+    return docs.schema["id"].dataType.simpleString()
+
+
+def occurrences(docs: DataFrame, length: int, gram: int, by_words: bool) -> DataFrame:
+    """(id, print, anchor, d1, d2, first, n) of every block of every document.
+
+    ``first`` is the place of the first window, ``n`` the number of windows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(2)[i].as_py()
+                if by_words:
+                    words = Words(text)
+                    if words.n < length:
+                        continue
+                    anchor, first, end = cut(words.values(), length, gram)
+                    data = memoryview(words.joined)
+                    left, right = words.starts[first], words.ends[end + length - 2]
+                else:
+                    data = text.encode()
+                    if len(data) < length:
+                        continue
+                    anchor, first, end = cut(byte_values(np.frombuffer(data, np.uint8)), length, gram)
+                    data, left, right = memoryview(data), first, end + length - 1
+                prints = [digest(data[a:b]) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+                n = len(prints)
+                d1, d2 = zip(*prints, strict=True)
+                same = pa.array(np.zeros(n, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(i, 1).take(same),
+                        batch.column(1).slice(i, 1).take(same),
+                        pa.array(anchor.view(np.int64)),
+                        pa.array(d1, pa.int64()),
+                        pa.array(d2, pa.int64()),
+                        pa.array(first.astype(np.int32)),
+                        pa.array((end - first).astype(np.int32)),
+                    ],
+                    names=["id", "print", "anchor", "d1", "d2", "first", "n"],
+                )
+
+    schema = f"id {id_type(docs)}, print long, anchor long, d1 long, d2 long, first int, n int"
+    return docs.mapInArrow(run, schema)
+
+
+def found_again(occurring: DataFrame) -> DataFrame:
+    """The occurrences whose anchor occurs more than once, and whether blocks differ
+    there (``mixed``): only these need a closer look.
+
+    Anchors are counted before anything else is moved.
+    """
+    anchors = (
+        occurring.groupBy("anchor")
+        .agg(F.count("*").alias("c"), F.min("d1").alias("low"), F.max("d1").alias("high"))
+        .where("c > 1")
+        .select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
+    )
+    return occurring.join(anchors, "anchor")
+
+
+def with_keys(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents whose (id, print) is in ``keys``, all others), null-safe.
+
+    ``keys`` has distinct rows and is a written table, so counting it is cheap.
+    """
+    named = keys.select(F.col("id").alias("_id"), F.col("print").alias("_print"))
+    if keys.count() <= SENT_KEYS:
+        named = F.broadcast(named)
+    same = (F.col("print") == F.col("_print")) & F.col("id").eqNullSafe(F.col("_id"))
+    return docs.join(named, same, "left_semi"), docs.join(named, same, "left_anti")
