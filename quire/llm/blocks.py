@@ -82,15 +82,25 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: a.size - rest], a[rest:]) if rest else a
 
 
-def cut(values: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, end of windows) of every block of a sequence."""
-    if values.size < length:
-        none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none
-    low = sliding_min(grams(values, gram), length - gram + 1)
+def cut(
+    values: np.ndarray, length: int, gram: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, end of windows) of every block of a sequence of at least
+    ``length`` values, and the hashes of its grams."""
+    each = grams(values, gram)
+    low = sliding_min(each, length - gram + 1)
     edges = np.flatnonzero(low[1:] != low[:-1]) + 1
     first = np.concatenate(([0], edges))
-    return low[first], first, np.concatenate((edges, [low.size]))
+    return low[first], first, np.concatenate((edges, [low.size])), each
+
+
+def anchored_twice(anchor, first, end, each: np.ndarray, length: int, gram: int) -> list[bool]:
+    """Whether a block has its anchor at two places: only then can two of its own
+    windows be equal."""
+    stop = (end + length - gram).tolist()
+    return [
+        np.count_nonzero(each[a:b] == x) > 1 for x, a, b in zip(anchor, first.tolist(), stop, strict=True)
+    ]
 
 
 def digest(data: bytes | memoryview) -> tuple[int, int]:
@@ -135,9 +145,11 @@ def id_type(docs: DataFrame) -> str:
 
 
 def occurrences(docs: DataFrame, length: int, gram: int, by_words: bool) -> DataFrame:
-    """(id, print, anchor, d1, d2, first, n) of every block of every document.
+    """(id, print, anchor, d1, d2, first, n, twice) of every block of every document.
 
     ``first`` is the place of the first window, ``n`` the number of windows.
+    ``twice`` (see ``anchored_twice``) is looked for in bytes only: no document is a
+    source of its own words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,14 +160,17 @@ def occurrences(docs: DataFrame, length: int, gram: int, by_words: bool) -> Data
                     words = Words(text)
                     if words.n < length:
                         continue
-                    anchor, first, end = cut(words.values(), length, gram)
+                    anchor, first, end, _ = cut(words.values(), length, gram)
+                    twice = np.zeros(anchor.size, bool)
                     data = memoryview(words.joined)
                     left, right = words.starts[first], words.ends[end + length - 2]
                 else:
                     data = text.encode()
                     if len(data) < length:
                         continue
-                    anchor, first, end = cut(byte_values(np.frombuffer(data, np.uint8)), length, gram)
+                    values = byte_values(np.frombuffer(data, np.uint8))
+                    anchor, first, end, each = cut(values, length, gram)
+                    twice = anchored_twice(anchor, first, end, each, length, gram)
                     data, left, right = memoryview(data), first, end + length - 1
                 prints = [digest(data[a:b]) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
                 n = len(prints)
@@ -170,27 +185,30 @@ def occurrences(docs: DataFrame, length: int, gram: int, by_words: bool) -> Data
                         pa.array(d2, pa.int64()),
                         pa.array(first.astype(np.int32)),
                         pa.array((end - first).astype(np.int32)),
+                        pa.array(twice, pa.bool_()),
                     ],
-                    names=["id", "print", "anchor", "d1", "d2", "first", "n"],
+                    names=["id", "print", "anchor", "d1", "d2", "first", "n", "twice"],
                 )
 
-    schema = f"id {id_type(docs)}, print long, anchor long, d1 long, d2 long, first int, n int"
+    schema = (
+        f"id {id_type(docs)}, print long, anchor long, d1 long, d2 long, first int, n int, twice boolean"
+    )
     return docs.mapInArrow(run, schema)
 
 
 def found_again(occurring: DataFrame) -> DataFrame:
-    """The occurrences whose anchor occurs more than once, and whether blocks differ
-    there (``mixed``): only these need a closer look.
+    """The occurrences whose anchor occurs more than once, and whether the windows of
+    their blocks have to be compared one by one (``mixed``: blocks differ there).
 
     Anchors are counted before anything else is moved.
     """
     anchors = (
         occurring.groupBy("anchor")
-        .agg(F.count("*").alias("c"), F.min("d1").alias("low"), F.max("d1").alias("high"))
-        .where("c > 1")
-        .select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
+        .agg(F.count("*").alias("c"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.max("twice").alias("twice"))
+        .where("c > 1 OR twice")
+        .select("anchor", (F.col("twice") | (F.col("low") != F.col("high"))).alias("mixed"))
     )
-    return occurring.join(anchors, "anchor")
+    return occurring.drop("twice").join(anchors, "anchor")
 
 
 def with_keys(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -203,3 +221,12 @@ def with_keys(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
         named = F.broadcast(named)
     same = (F.col("print") == F.col("_print")) & F.col("id").eqNullSafe(F.col("_id"))
     return docs.join(named, same, "left_semi"), docs.join(named, same, "left_anti")
+
+
+def leading(data: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` (at most 8) bytes from each place on as one number that sorts as they do."""
+    padded = np.concatenate((data, np.zeros(size, np.uint8))).astype(np.uint64)
+    out = np.zeros(data.size, np.uint64)
+    for k in range(size):
+        out = (out << np.uint64(8)) | padded[k : k + data.size]
+    return (out ^ np.uint64(1 << 63)).view(np.int64)

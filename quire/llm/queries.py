@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, factors, quality, token_counts
+from quire.llm import bpe, decontaminate, factors, quality, suffixes, token_counts
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without passages of 50 words of earlier ones."""
     return factors.dedup(read(spark, sf_dir, "documents"), keep_text=False).drop("factors")
+
+
+@query()
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without 400-byte strings that occur twice."""
+    return suffixes.dedup(read(spark, sf_dir, "documents"), keep_bytes=False).drop("runs")
