@@ -112,8 +112,8 @@ def digest(data: bytes | memoryview) -> tuple[int, int]:
 class Words:
     """A text as words joined by one space, with the place of each."""
 
-    def __init__(self, text: str | None):
-        words = (text or "").encode().split()
+    def __init__(self, text: bytes):
+        words = text.split()
         self.n = len(words)
         self.joined = b" ".join(words)
         sizes = np.fromiter(map(len, words), np.int64, self.n)
@@ -157,7 +157,7 @@ def occurrences(docs: DataFrame, length: int, gram: int, by_words: bool) -> Data
             for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_py()
                 if by_words:
-                    words = Words(text)
+                    words = Words(text.encode())
                     if words.n < length:
                         continue
                     anchor, first, end, _ = cut(words.values(), length, gram)

@@ -60,15 +60,13 @@ def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                words = blocks.Words(batch.column(1)[i].as_py())
+                words = blocks.Words(batch.column(1)[i].as_py().encode())
                 data, starts, ends = memoryview(words.joined), words.starts.tolist(), words.ends.tolist()
                 out: list[list] = [[], [], [], [], []]
                 for b in batch.column(2)[i].as_py():
-                    seen = set()
                     for at in range(b["n"]):
                         p = b["first"] + at
                         w = blocks.digest(data[starts[p] : ends[p + length - 1]])
-                        seen.add(w)
                         for column, value in zip(out, (*w, b["d1"], b["d2"], at), strict=True):
                             column.append(value)
                 same = pa.array(np.zeros(len(out[0]), np.int64))

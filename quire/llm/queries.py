@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, factors, quality, suffixes, token_counts
+from quire.llm import bpe, decontaminate, factors, minmax, quality, suffixes, token_counts
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without 400-byte strings that occur twice."""
     return suffixes.dedup(read(spark, sf_dir, "documents"), keep_bytes=False).drop("runs")
+
+
+@query()
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that links of 0.8 on word pairs form."""
+    found = minmax.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
+    return found.select(
+        "doc_id",
+        "n_shingles",
+        "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
