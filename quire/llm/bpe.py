@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pieces (in each of two generations) and pairs remembered by one task, and the
 #: longest piece that is remembered.
@@ -201,7 +202,7 @@ def encoded(
     New columns replace columns of the same name.
     """
     names = [c for c in docs.columns if c not in (ids_col, decoded_col)]
-    schema = docs.select(*names).schema.add(ids_col, "array<int>").add(decoded_col, "binary")
+    schema = docs.select(*names).schema.add(ids_col, T.ArrayType(T.IntegerType())).add(decoded_col, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(path, pattern)

@@ -25,3 +25,25 @@ def words_of(text: Column) -> Column:
 def characters_in(text: Column, characters: str) -> Column:
     """How many code points of ``text`` are among ``characters``."""
     return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
+#: Up to so many document keys (id and text hash, 16 bytes) are sent to every task;
+#: more are joined by a shuffle, with the same rows as a result.
+SENT_KEYS = 1_000_000
+
+
+def text_hash(text: Column) -> Column:
+    """Tells texts of one id apart; a null text counts as an empty one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose (id, text hash) is not in the written table ``gone``
+    with the columns ``id`` and ``print``; null-safe, all columns kept."""
+    named = gone.select(F.col("id").alias("__gone_id"), F.col("print").alias("__gone_print"))
+    if named.count() <= SENT_KEYS:
+        named = F.broadcast(named)
+    same = (text_hash(docs[text_col]) == F.col("__gone_print")) & docs[id_col].eqNullSafe(
+        F.col("__gone_id")
+    )
+    return docs.join(named, same, "left_anti")

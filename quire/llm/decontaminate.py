@@ -21,6 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import text_hash, without
+from quire.session import materialise
+
 WINDOW = 13
 #: A row of the set is a hash, a length, an id and 13 words: about 200 bytes.
 BROADCAST_WINDOWS = 200_000
@@ -98,7 +101,7 @@ def hits(
     small = sum(sizes.values()) <= BROADCAST_WINDOWS
     hashed = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .select("id", F.xxhash64("text").alias("print"), normal_words(F.col("text")).alias("w"))
+        .select("id", text_hash(F.col("text")).alias("print"), normal_words(F.col("text")).alias("w"))
         .select("*", F.size("w").alias("n"), _word_hashes("w").alias("wh"))
     )
     # Place -1 marks the document itself; no window has the length 0.
@@ -190,8 +193,5 @@ def clean(
     Only (id, text hash) of the contaminated documents is joined.
     """
     found = report(docs, items, id_col, text_col).where("contaminated")
-    bad = found.select(F.col(id_col).alias("_bad_id"), F.col("print").alias("_bad_print"))
-    same = docs[id_col].eqNullSafe(F.col("_bad_id")) & (
-        F.xxhash64(docs[text_col].cast("string")) == F.col("_bad_print")
-    )
-    return docs.join(bad, same, "left_anti")
+    bad = materialise(found.select(F.col(id_col).alias("id"), "print"), "contaminated")
+    return without(docs, bad, id_col, text_col)

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import blocks
 from quire.llm.blocks import KEY
+from quire.llm.common import without
 from quire.llm.graph import components
 from quire.session import materialise
 
@@ -253,14 +254,9 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """The documents, all columns, one of each group (the one with the smallest id);
-    texts without words all stay, and so do rows with a null text.
-
-    Rows that repeat id and text of the one that stays are left out as well.
+    texts without words all stay. Rows that repeat id and text of the document that
+    stays are the same document and stay too.
     """
     found = near_duplicates(docs, id_col, text_col, size)
-    gone = materialise(
-        found.where("NOT stands").select(F.col(id_col).alias("_id"), F.col("print").alias("_print")), "gone"
-    )
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_print"))
-    return docs.join(gone, same, "left_anti").dropDuplicates([id_col, text_col])
+    gone = materialise(found.where("NOT stands").select(F.col(id_col).alias("id"), "print").distinct(), "gone")
+    return without(docs, gone, id_col, text_col)

@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, factors, minmax, quality, suffixes, token_counts
+from quire.llm import (
+    bpe,
+    decontaminate,
+    factors,
+    language,
+    lines,
+    minmax,
+    quality,
+    suffixes,
+    token_counts,
+)
 from quire.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +146,51 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+@query(
+    r"""WITH lines AS (
+  SELECT doc_id, source, i, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
+  FROM (SELECT doc_id, source, unnest(l) AS line, unnest(range(len(l))) AS i
+        FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+bad AS (SELECT bare FROM lines WHERE bare <> '' GROUP BY bare
+        HAVING count(DISTINCT coalesce(source, chr(0))) >= 10),
+flagged AS (SELECT l.*, b.bare IS NOT NULL AS gone FROM lines l LEFT JOIN bad b USING (bare)),
+cut AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+  FROM flagged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, kept_sha256
+FROM documents d LEFT JOIN cut USING (doc_id)"""
+)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without lines that ten sites or more share."""
+    kept = lines.removed(read(spark, sf_dir, "documents"), counts=("n_lines", "n_removed"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: its text, its declared language, its source as host."""
+    docs = read(spark, sf_dir, "documents")
+    found = language.identify(
+        docs, language.fit(docs), declared=F.col("lang"), host=F.col("source")
+    )
+    return found.select("doc_id", "language", "confidence", F.col("accepted").alias("kept"))
+
+
+@query()
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over pages, which have all kinds of evidence: markup, host,
+    domain and suffix of the address."""
+    html = F.col("html")
+    pages = read(spark, sf_dir, "pages").select(
+        "page_id", "url", language.declared_in(html).alias("declared"), language.visible_text(html).alias("text")
+    )
+    found = language.identify(
+        pages,
+        language.fit(read(spark, sf_dir, "documents")),
+        id_col="page_id",
+        declared=F.col("declared"),
+        **language.address(F.col("url")),
+    )
+    return found.select("page_id", "language", "confidence", "accepted")
