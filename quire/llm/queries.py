@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,3 +195,8 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         **language.address(F.col("url")),
     )
     return found.select("page_id", "language", "confidence", "accepted")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
