@@ -19,6 +19,7 @@ from quire.llm import (
     quality,
     suffixes,
     token_counts,
+    transcripts,
 )
 from quire.llm.common import read
 
@@ -200,3 +201,11 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+@query()
+def op7_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from raw transcripts of all conversations, in canonical form."""
+    turns = transcripts.with_markers(read(spark, sf_dir, "conversations"))
+    found = transcripts.parse(transcripts.lines_of(turns), transcripts.fit(turns))
+    return found.select("conv_id", "turn", "role", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"))
