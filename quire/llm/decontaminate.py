@@ -7,7 +7,7 @@ words inside verified windows are counted, cut out or lead to the document's
 removal. Built-in functions only; texts are never shuffled, only hits are.
 
 The set is broadcast while it has at most ``BROADCAST_WINDOWS`` rows (counted
-before the join); beyond that the same join is left to a shuffle.
+before the join); beyond that the hashes of all windows are joined by a shuffle.
 
 Defined cases: a null text has no words (and so is kept, n_words 0); a null id is
 an id like any other; rows that repeat both id and text are one document in
@@ -123,19 +123,21 @@ def hits(
         .select("id", "print", "n", "w", "len", F.posexplode("hashes").alias("at", "hash"))
     )
     side = wanted.select("hash", F.col("size").alias("len"), "window", "item_list")
+    equal = F.slice("w", F.col("at") + 1, F.col("len")) == F.col("window")
+    columns = ["id", "print", "n", "len", "at"]
     if small:
-        side = F.broadcast(side)
-    found = places.join(side, ["hash", "len"], "left").select(
-        "id",
-        "print",
-        "n",
-        "len",
-        "at",
-        F.when(F.slice("w", F.col("at") + 1, F.col("len")) == F.col("window"), F.col("item_list")).alias(
-            "item_list"
-        ),
-    )
-    kept = found.where((F.col("len") == 0) | F.col("item_list").isNotNull())
+        kept = (
+            places.join(F.broadcast(side), ["hash", "len"], "left")
+            .select(*columns, F.when(equal, F.col("item_list")).alias("item_list"))
+            .where((F.col("len") == 0) | F.col("item_list").isNotNull())
+        )
+    else:
+        # Only hashes are shuffled; the words of documents with a match are joined again.
+        matched = places.drop("w").join(side, ["hash", "len"])
+        texts = hashed.select(F.col("id").alias("_id"), F.col("print").alias("_print"), "w").distinct()
+        same = (F.col("print") == F.col("_print")) & F.col("id").eqNullSafe(F.col("_id"))
+        found = matched.join(texts, same).where(equal).select(*columns, "item_list")
+        kept = found.unionByName(places.where("len = 0").select(*columns), allowMissingColumns=True)
     return kept.groupBy("id", "print").agg(
         F.max("n").alias("n_words"),
         F.sort_array(
