@@ -98,7 +98,15 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         .select(*_BLOCK, "o.*")
     )
     windows = _windows(docs, earliest, length)
-    first_seen = windows.groupBy("w1", "w2").agg(F.min("source").alias("origin"))
+    # Only windows of several blocks; written, so that a window which very many blocks
+    # share can be split in the join that follows.
+    first_seen = materialise(
+        windows.groupBy("w1", "w2")
+        .agg(F.min("source").alias("origin"), F.count("*").alias("c"))
+        .where("c > 1")
+        .select("w1", "w2", "origin"),
+        "shared-windows",
+    )
     borders = (
         windows.join(first_seen, ["w1", "w2"])
         .where(_earlier("origin", "source"))
