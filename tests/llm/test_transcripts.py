@@ -10,8 +10,8 @@ from quire.llm import transcripts
 
 
 @pytest.fixture(scope="module")
-def turns(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+def turns(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
 
 
 @pytest.fixture(scope="module")
