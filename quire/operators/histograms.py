@@ -17,18 +17,18 @@ def hist_density(df: DataFrame, column: str, bins: int = 149) -> DataFrame:
     """
     x = F.col(column).cast("double")
     values = df.select(x.alias("x")).where(x.isNotNull())
-    span = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    span = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
     flat = F.when(F.col("lo") == F.col("hi"), F.lit(0.5)).otherwise(F.lit(0.0))
-    span = span.select((F.col("lo") - flat).alias("lo"), (F.col("hi") + flat).alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    span = span.select(
+        F.struct((F.col("lo") - flat).alias("lo"), (F.col("hi") + flat).alias("hi"), "n").alias("span")
+    ).scalar()
 
     def border(i, low=F.col("lo"), width=F.col("width")):
         return low + i * width
 
     located = (
-        values.groupBy("x")
-        .agg(F.count("*").alias("n"))
-        .withColumns({"lo": lo, "hi": hi})
+        values.withColumn("span", span)
+        .select("x", "span.lo", "span.hi")
         .withColumn("width", (F.col("hi") - F.col("lo")) / bins)
         .withColumn(
             "guess",
@@ -47,12 +47,16 @@ def hist_density(df: DataFrame, column: str, bins: int = 149) -> DataFrame:
             .otherwise(F.col("guess")),
         )
     )
-    counts = located.groupBy("bin").agg(F.sum("n").alias("n"))
-    grid = df.sparkSession.range(bins).select(F.col("id").alias("bin"), lo.alias("lo"), hi.alias("hi"))
-    total = values.agg(F.count("*")).scalar()
+    # The bin is worked out row by row, so a task hands on one row per bin.
+    counts = located.groupBy("bin").agg(F.count("*").alias("n"))
+    grid = (
+        df.sparkSession.range(bins)
+        .select(F.col("id").alias("bin"), span.alias("span"))
+        .select("bin", "span.lo", "span.hi", F.col("span.n").alias("total"))
+    )
     width = (F.col("hi") - F.col("lo")) / bins
     return (
-        grid.withColumns({"width": width, "total": total})
+        grid.withColumn("width", width)
         .join(counts, "bin", "left")
         .select(
             "bin",

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.constants import NON_PERSON_NAMES
+from quire.operators.lookup import lookup
+from quire.operators.ordering import dense_position
 from quire.session import materialise
 
-MAX_CLASSES = 10_000
-
 
 def known_categories(papers: DataFrame, dimension: DataFrame) -> DataFrame:
     return papers.join(
@@ -52,47 +52,31 @@ def exclude_names(
     return df.join(F.broadcast(listed), column, "left_anti")
 
 
-def label_list(df: DataFrame, label: str) -> Column:
-    """Sorted distinct classes as one array (scalar subquery).
-
-    The number of classes is a property of the task, not of the data size; more
-    than ``MAX_CLASSES`` fails instead of building a huge array.
-    """
-    distinct = df.select(label).where(F.col(label).isNotNull()).distinct()
-    checked = distinct.limit(MAX_CLASSES + 1).agg(
-        F.when(
-            F.count("*") <= MAX_CLASSES, F.sort_array(F.collect_list(label))
-        ).otherwise(
-            F.raise_error(F.lit("too many classes for a label list"))
-        )
-    )
-    return checked.scalar()
-
-
 def label_dim(df: DataFrame, label: str) -> DataFrame:
-    """(label, idx): place of each class in the sorted list."""
-    one = df.sparkSession.range(1).select(label_list(df, label).alias("labels"))
-    return one.select(F.posexplode("labels").alias("idx", "label")).select("label", "idx")
+    """(label, idx): place of each class in the sorted list, for any number of classes."""
+    # Numbering reads its input several times, so the classes are written first.
+    distinct = materialise(df.select(F.col(label).alias("label")).where("label IS NOT NULL").distinct(), "classes")
+    return dense_position(distinct, "label", "idx").select("label", F.col("idx").cast("int").alias("idx"))
 
 
-def label_index(df: DataFrame, label: str, fitted_on: DataFrame, name: str = "label_idx") -> DataFrame:
+def label_index(
+    df: DataFrame, label: str, fitted_on: DataFrame, name: str = "label_idx", spread_by: str | None = None
+) -> DataFrame:
     """Add the class index; a class that ``fitted_on`` lacks is an error.
 
-    An array lookup, so the large side is neither shuffled nor joined.
+    The classes are a dictionary: sent to every task while it is small, joined by a
+    shuffle beyond that, where a class with very many rows is spread by the values
+    of ``spread_by`` (the first column if not given).
     """
-    place = F.array_position(F.col("_labels"), F.col(label))
-    return (
-        df.withColumn("_labels", label_list(fitted_on, label))
-        .withColumn(
-            name,
-            F.when(place > 0, (place - 1).cast("int"))
-            .when(F.col(label).isNull(), F.lit(None).cast("int"))
-            .otherwise(
-                F.raise_error(F.concat(F.lit("unknown class: "), F.col(label))).cast("int")
-            ),
-        )
-        .drop("_labels")
+    dim = materialise(label_dim(fitted_on, label), "labels").select(
+        F.col("label").alias(label), F.col("idx").alias("_place")
     )
+    found = lookup(df, dim, label, spread_by or df.columns[0], how="left")
+    place = F.when(
+        F.col(label).isNotNull() & F.col("_place").isNull(),
+        F.raise_error(F.concat(F.lit("unknown class: "), F.col(label).cast("string"))).cast("int"),
+    ).otherwise(F.col("_place"))
+    return found.select(*df.columns, place.alias(name))
 
 
 def align(left: DataFrame, right: DataFrame, id_col: str = "id") -> DataFrame:

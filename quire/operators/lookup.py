@@ -11,11 +11,21 @@ BROADCAST_LIMIT = 256 * 1024 * 1024
 
 
 def fits_broadcast(
-    dictionary: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_LIMIT
+    dictionary: DataFrame, row_bytes: int = 64, limit: int | None = None
 ) -> bool:
-    """Whether a written dictionary is small enough to send to every executor;
-    the count reads file footers."""
-    return dictionary.count() * row_bytes <= limit
+    """Whether a written dictionary is small enough to send to every executor.
+
+    Text is measured, not assumed: the bytes of its string columns plus
+    ``row_bytes`` a row. The limit is ``spark.quire.broadcastLimit`` if the
+    session sets it.
+    """
+    if limit is None:
+        limit = int(dictionary.sparkSession.conf.get("spark.quire.broadcastLimit", str(BROADCAST_LIMIT)))
+    texts = [F.coalesce(F.octet_length(n), F.lit(0)) for n, kind in dictionary.dtypes if kind == "string"]
+    size = F.lit(row_bytes).cast("long")
+    for text in texts:
+        size = size + text
+    return (dictionary.agg(F.sum(size)).first()[0] or 0) <= limit
 
 
 def hot_keys(facts: DataFrame, key: str, tasks: int) -> DataFrame:
@@ -40,11 +50,11 @@ def lookup(
     spread_by: str,
     row_bytes: int = 64,
     how: str = "inner",
-    limit: int = BROADCAST_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``dictionary`` on ``key``.
 
-    Up to ``limit`` bytes the dictionary is broadcast and the facts stay where
+    Up to ``limit`` bytes (see ``fits_broadcast``) the dictionary is broadcast and the facts stay where
     they are. Beyond that both sides shuffle. One key may hold a third of the
     facts, so keys are counted first and each hot key is spread over as many
     salts as its share of the tasks: a fact takes the salt of its ``spread_by``

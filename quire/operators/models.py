@@ -160,7 +160,7 @@ def class_terms(
     )
 
 
-def kmeans(df: DataFrame, k: int = CLUSTERS, seed: int = 5, max_iter: int = 20) -> tuple[KMeansModel, DataFrame]:
+def kmeans(df: DataFrame, k: int = CLUSTERS, seed: int = 5, max_iter: int = 300) -> tuple[KMeansModel, DataFrame]:
     """Model and (id, cluster) of the training rows."""
     with _training_rows(df) as (data, _):
         model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(data)

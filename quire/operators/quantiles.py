@@ -15,36 +15,42 @@ QUARTILES = (0.25, 0.5, 0.75)
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float] = QUARTILES) -> DataFrame:
     """Quantiles with linear interpolation, as (prob, value) rows.
 
-    Equal values are counted first. Approximate quantiles then cut the value
-    range into buckets; a bucket's running counts start where the previous
-    bucket ends, which gives every distinct value its exact range of ranks. No
-    task sees more than one bucket of distinct values, and the rough cuts only
-    decide how even the buckets are.
+    Approximate quantiles cut the value range into buckets, and rows are counted
+    per bucket before anything moves. That tells which few buckets hold the
+    wanted ranks; only their values are counted and ranked. The rough cuts only
+    decide how even the buckets are, and no other row is shuffled.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     x = F.col(column).cast("double")
     values = df.select(x.alias("x")).where(x.isNotNull() & ~F.isnan(x))
-    counts = values.groupBy("x").agg(F.count("*").alias("n"))
-    cut_points = [i / parts for i in range(1, parts)] or [0.5]
-    borders = values.agg(F.percentile_approx("x", cut_points, 1000)).scalar()
-    bucketed = counts.withColumn("_borders", borders).select(
-        "x", "n", bucket_of("x", "_borders").alias("bucket")
+    cut_points = [i / parts for i in range(1, parts)]
+    borders = values.agg(F.percentile_approx("x", cut_points, 10 * parts)).scalar()
+    bucketed = values.withColumn("_borders", borders).select(
+        "x", bucket_of("x", "_borders", parts - 1).alias("bucket")
     )
     # One row per bucket.
     whole = Window.partitionBy()
     shifts = (
         bucketed.groupBy("bucket")
-        .agg(F.sum("n").alias("b"))
+        .agg(F.count("*").alias("b"))
         .select(
             "bucket",
+            "b",
             (F.sum("b").over(Window.orderBy("bucket")) - F.col("b")).alias("shift"),
             F.sum("b").over(whole).alias("total"),
         )
     )
+    held = F.lit(False)
+    for p in probs:
+        at = F.lit(float(p)) * (F.col("total") - 1)
+        for rank in (F.floor(at), F.ceil(at)):
+            held = held | rank.between(F.col("shift"), F.col("shift") + F.col("b") - 1)
     running = Window.partitionBy("bucket").orderBy("x")
     ranked = (
-        bucketed.withColumn("upto", F.sum("n").over(running))
-        .join(F.broadcast(shifts), "bucket")
+        bucketed.join(F.broadcast(shifts.where(held).select("bucket", "shift", "total")), "bucket")
+        .groupBy("bucket", "x", "shift", "total")
+        .agg(F.count("*").alias("n"))
+        .withColumn("upto", F.sum("n").over(running))
         .select(
             "x",
             "total",
@@ -133,9 +139,8 @@ def describe_cat(df: DataFrame, column: str) -> DataFrame:
     """One row: non-null count, distinct values, most frequent value (the
     smallest on a tie) and its count."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), column).limit(1)
+    # The most frequent value is the smallest (-n, value).
+    first = F.min(F.struct((-F.col("n")).alias("minus"), F.col(column).alias("top")))
     return counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.count("*").alias("unique")
-    ).select(
-        "count", "unique", top.select(column).scalar().alias("top"), top.select("n").scalar().alias("freq")
-    )
+        F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.count("*").alias("unique"), first.alias("first")
+    ).select("count", "unique", F.col("first.top").alias("top"), (-F.col("first.minus")).alias("freq"))

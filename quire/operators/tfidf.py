@@ -19,8 +19,6 @@ from quire.operators.ordering import dense_position, top_n_per_group
 from quire.operators.tokens import exploded, term_counts
 from quire.session import materialise
 
-MAX_MODEL_TERMS = 2_000_000
-
 
 @dataclass
 class TfidfModel:
@@ -53,12 +51,8 @@ class TfidfModel:
         """The same weights as MLlib vectors, row by row and without a shuffle.
 
         For model training only: a linear model's coefficients live in the
-        driver, and so does this vocabulary. Too large a vocabulary is refused,
-        never cut; raise ``min_df`` to fit.
+        driver, and so does this vocabulary. ``min_df`` sets its size.
         """
-        n_terms = self.terms.count()
-        if n_terms > MAX_MODEL_TERMS:
-            raise ValueError(f"{n_terms} terms are too many for a model in the driver")
         rows = self.terms.orderBy("idx").select("term", "idf").collect()
         count = CountVectorizerModel.from_vocabulary(
             [row.term for row in rows], inputCol=self.tokens, outputCol="_tf"

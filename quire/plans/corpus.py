@@ -514,7 +514,7 @@ def nlargest(spark, sf_dir):
 
 EXTREMES = """SELECT vec_id, dim, weight, rank, side FROM (SELECT *,
   (row_number() OVER (PARTITION BY vec_id ORDER BY weight DESC, dim))::INTEGER AS rank, 'top' AS side FROM w)
-WHERE rank BETWEEN {low} AND 10
+WHERE rank BETWEEN {low} AND {high}
 UNION ALL SELECT vec_id, dim, weight, rank, side FROM (SELECT *,
   (row_number() OVER (PARTITION BY vec_id ORDER BY weight, dim))::INTEGER AS rank, 'bottom' AS side FROM w)
 WHERE rank <= 10"""
@@ -528,17 +528,17 @@ def _weights(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "weight"))
 
 
-@query("O7", WEIGHTS + EXTREMES.format(low=1))
+@query("O7", WEIGHTS + EXTREMES.format(low=1, high=10))
 def extreme_terms(spark, sf_dir):
     return ordering.extreme_terms(_weights(spark, sf_dir), "vec_id", "dim", "weight")
 
 
-@query("O7", WEIGHTS + EXTREMES.format(low=2))
+@query("O7", WEIGHTS + EXTREMES.format(low=2, high=11))
 def extreme_terms_without_largest(spark, sf_dir):
     return ordering.extreme_terms(_weights(spark, sf_dir), "vec_id", "dim", "weight", skip_max=True)
 
 
-@query("O8")
+@query("O8", "SELECT * FROM labels")
 def shuffled(spark, sf_dir):
     return ordering.shuffled(table(spark, sf_dir, "labels"), 5)
 

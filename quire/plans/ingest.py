@@ -43,18 +43,17 @@ SHORT = """id, update_date, author, title, md5(abstract) AS abstract_md5, catego
   general_category"""
 
 
-def short(df):
+def short(df, *more):
     return df.select(
         "id", "update_date", "author", "title", F.md5("abstract").alias("abstract_md5"),
-        "categories", "journal", "doi", "general_category",
+        "categories", "journal", "doi", "general_category", *more,
     )
 
 
 @query("S1 S14 P1", with_views(PAPERS) + f"SELECT {SHORT}, 1::BIGINT AS n_versions FROM papers")
 def json_lines(spark, sf_dir):
     df = ops.project_papers(readers.read_papers_json(spark, written_json(spark, sf_dir)))
-    n_versions = F.size("versions").cast("bigint").alias("n_versions")
-    return short(df).join(df.select("id", n_versions), "id")
+    return short(df, F.size("versions").cast("bigint").alias("n_versions"))
 
 
 @query(

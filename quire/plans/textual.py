@@ -226,9 +226,11 @@ CATEGORY_DOCS = WORD_DOCS.replace(
 )
 
 
-def _category_weights(spark, sf_dir):
-    """One category of the first 10,000 rows, with all default settings."""
-    docs = ordering.first_n(_word_tokens(spark, sf_dir), 10_000).where("lang = 'en'")
+def _category_weights(spark, sf_dir, first=None):
+    """One category, of the first rows only if ``first`` is given, with all default
+    settings."""
+    docs = _word_tokens(spark, sf_dir)
+    docs = (docs if first is None else ordering.first_n(docs, first)).where("lang = 'en'")
     return docs, tfidf.fit_tfidf(docs).transform(docs)
 
 
@@ -241,7 +243,7 @@ def _category_weights(spark, sf_dir):
     ELSE min(tfidf) END, 6) AS min_tfidf FROM weights""",
 )
 def category_tfidf_min(spark, sf_dir):
-    docs, weights = _category_weights(spark, sf_dir)
+    docs, weights = _category_weights(spark, sf_dir, first=10_000)
     return tfidf.matrix_minimum(weights, docs).select(
         "n_docs", "n_terms", F.round("min_tfidf", 6).alias("min_tfidf")
     )
@@ -250,7 +252,7 @@ def category_tfidf_min(spark, sf_dir):
 @query(
     "T12",
     "WITH "
-    + tfidf_sql(CATEGORY_DOCS)
+    + tfidf_sql(WORD_DOCS.replace("FROM documents)", "FROM documents WHERE lang = 'en')"))
     + """SELECT term, round(sum(tfidf), 4) AS weight FROM weights GROUP BY term
 ORDER BY sum(tfidf) DESC, term LIMIT 20""",
 )

@@ -82,7 +82,7 @@ def logistic_regression(spark, sf_dir):
 @query("T7")
 def support_vectors(spark, sf_dir):
     train, test, _ = text_features(spark, sf_dir)
-    return _scored(models.support_vectors(train, max_iter=20), test)
+    return _scored(models.support_vectors(train), test)
 
 
 @query("T10 T11 O7")
@@ -98,7 +98,7 @@ def perceptron(spark, sf_dir):
         models.dense_features(part, "vector").withColumn("label", F.col("label").cast("double"))
         for part in _vector_split(spark, sf_dir)
     )
-    return _scored(models.perceptron(train, 64, 10, max_iter=30), test)
+    return _scored(models.perceptron(train, 64, 10), test)
 
 
 @query("T22")
@@ -112,7 +112,7 @@ def saved_model(spark, sf_dir):
     """Scores of a model that was saved and loaded in between."""
     train, test, _ = text_features(spark, sf_dir)
     path = scratch_path(spark, "model")
-    models.logistic_regression(train, max_iter=20).write().save(path)
+    models.logistic_regression(train).write().save(path)
     return _scored(LogisticRegressionModel.load(path), test)
 
 
