@@ -94,19 +94,26 @@ def cut(
     return low[first], first, np.concatenate((edges, [low.size])), each
 
 
-def anchored_twice(anchor, first, end, each: np.ndarray, length: int, gram: int) -> list[bool]:
+def anchored_twice(anchor, first, end, each: np.ndarray, length: int, gram: int) -> np.ndarray:
     """Whether a block has its anchor at two places: only then can two of its own
     windows be equal."""
     stop = (end + length - gram).tolist()
-    return [
-        np.count_nonzero(each[a:b] == x) > 1 for x, a, b in zip(anchor, first.tolist(), stop, strict=True)
-    ]
+    count = np.count_nonzero
+    return np.array(
+        [count(each[a:b] == x) > 1 for x, a, b in zip(anchor, first.tolist(), stop, strict=True)], bool
+    )
 
 
 def digest(data: bytes | memoryview) -> tuple[int, int]:
     """128-bit digest as two signed longs."""
-    x = xxhash.xxh3_128_intdigest(data)
-    return (x >> 64) - (1 << 63), (x & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(data), ">i8").tolist())
+
+
+def digests(data: bytes, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """128-bit digests of the parts [left, right) as rows of two signed longs."""
+    view, take = memoryview(data), xxhash.xxh3_128_digest
+    joined = b"".join([take(view[a:b]) for a, b in zip(left.tolist(), right.tolist(), strict=True)])
+    return np.frombuffer(joined, ">i8").reshape(-1, 2).astype(np.int64)
 
 
 class Words:
@@ -131,6 +138,8 @@ class Words:
 #: Up to so many document keys are sent to every task to pick the documents that a
 #: later step needs (16 bytes each); beyond that the texts are joined by a shuffle.
 SENT_KEYS = 1_000_000
+#: Rows that a task hands on together.
+AT_ONCE = 100_000
 KEY = ["id", "print"]
 
 
@@ -152,43 +161,52 @@ def occurrences(docs: DataFrame, length: int, gram: int, by_words: bool) -> Data
     source of its own words.
     """
 
+    def cut_one(text: str):
+        """(anchor, first, end, twice, digests) of the blocks of a text, or None."""
+        if by_words:
+            words = Words(text.encode())
+            if words.n < length:
+                return None
+            anchor, first, end, _ = cut(words.values(), length, gram)
+            twice = np.zeros(anchor.size, bool)
+            data, left, right = words.joined, words.starts[first], words.ends[end + length - 2]
+        else:
+            data = text.encode()
+            if len(data) < length:
+                return None
+            anchor, first, end, each = cut(byte_values(np.frombuffer(data, np.uint8)), length, gram)
+            twice = anchored_twice(anchor, first, end, each, length, gram)
+            left, right = first, end + length - 1
+        return anchor, first, end, twice, digests(data, left, right)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch.column(2)[i].as_py()
-                if by_words:
-                    words = Words(text.encode())
-                    if words.n < length:
-                        continue
-                    anchor, first, end, _ = cut(words.values(), length, gram)
-                    twice = np.zeros(anchor.size, bool)
-                    data = memoryview(words.joined)
-                    left, right = words.starts[first], words.ends[end + length - 2]
-                else:
-                    data = text.encode()
-                    if len(data) < length:
-                        continue
-                    values = byte_values(np.frombuffer(data, np.uint8))
-                    anchor, first, end, each = cut(values, length, gram)
-                    twice = anchored_twice(anchor, first, end, each, length, gram)
-                    data, left, right = memoryview(data), first, end + length - 1
-                prints = [digest(data[a:b]) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
-                n = len(prints)
-                d1, d2 = zip(*prints, strict=True)
-                same = pa.array(np.zeros(n, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, 1).take(same),
-                        batch.column(1).slice(i, 1).take(same),
-                        pa.array(anchor.view(np.int64)),
-                        pa.array(d1, pa.int64()),
-                        pa.array(d2, pa.int64()),
-                        pa.array(first.astype(np.int32)),
-                        pa.array((end - first).astype(np.int32)),
-                        pa.array(twice, pa.bool_()),
-                    ],
-                    names=["id", "print", "anchor", "d1", "d2", "first", "n", "twice"],
-                )
+            held: list = []
+            rows: list[np.ndarray] = []
+            size = 0
+            for i, value in enumerate(batch.column(2)):
+                found = cut_one(value.as_py())
+                if found is not None:
+                    held.append(found)
+                    rows.append(np.full(found[0].size, i))
+                    size += found[0].size
+                if held and (size >= AT_ONCE or i == batch.num_rows - 1):
+                    anchor, first, end, twice, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+                    place = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(place),
+                            batch.column(1).take(place),
+                            pa.array(anchor.view(np.int64)),
+                            pa.array(prints[:, 0].copy()),
+                            pa.array(prints[:, 1].copy()),
+                            pa.array(first.astype(np.int32)),
+                            pa.array((end - first).astype(np.int32)),
+                            pa.array(twice, pa.bool_()),
+                        ],
+                        names=["id", "print", "anchor", "d1", "d2", "first", "n", "twice"],
+                    )
+                    held, rows, size = [], [], 0
 
     schema = (
         f"id {id_type(docs)}, print long, anchor long, d1 long, d2 long, first int, n int, twice boolean"
@@ -230,3 +248,15 @@ def leading(data: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = (out << np.uint64(8)) | padded[k : k + data.size]
     return (out ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def stretches(size: int, found: pa.Scalar) -> list[tuple[int, int]]:
+    """The maximal parts [start, end) of ``size`` places that the found (first, length)
+    parts cover together; ``found`` is a list of such structs or null."""
+    if not found.is_valid or not len(found.values):
+        return []
+    first, length = (found.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+    change = np.bincount(first, minlength=size + 1) - np.bincount(first + length, minlength=size + 1)
+    covered = np.cumsum(change[:size]) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
+    return list(map(tuple, edges.reshape(-1, 2).tolist()))

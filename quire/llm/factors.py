@@ -61,19 +61,20 @@ def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 words = blocks.Words(batch.column(1)[i].as_py().encode())
-                data, starts, ends = memoryview(words.joined), words.starts.tolist(), words.ends.tolist()
-                out: list[list] = [[], [], [], [], []]
-                for b in batch.column(2)[i].as_py():
-                    for at in range(b["n"]):
-                        p = b["first"] + at
-                        w = blocks.digest(data[starts[p] : ends[p + length - 1]])
-                        for column, value in zip(out, (*w, b["d1"], b["d2"], at), strict=True):
-                            column.append(value)
-                same = pa.array(np.zeros(len(out[0]), np.int64))
+                opened = batch.column(2)[i].as_py()
+                sizes = [b["n"] for b in opened]
+                at = np.concatenate([np.arange(n) for n in sizes])
+                places = at + np.repeat([b["first"] for b in opened], sizes)
+                w = blocks.digests(words.joined, words.starts[places], words.ends[places + length - 1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1).take(same)]
-                    + [pa.array(c, pa.int64()) for c in out[:4]]
-                    + [pa.array(out[4], pa.int32())],
+                    [
+                        batch.column(0).slice(i, 1).take(pa.array(np.zeros(at.size, np.int64))),
+                        pa.array(w[:, 0].copy()),
+                        pa.array(w[:, 1].copy()),
+                        pa.array(np.repeat(np.array([b["d1"] for b in opened], np.int64), sizes)),
+                        pa.array(np.repeat(np.array([b["d2"] for b in opened], np.int64), sizes)),
+                        pa.array(at.astype(np.int32)),
+                    ],
                     names=["source", "w1", "w2", "d1", "d2", "at"],
                 )
 
@@ -134,15 +135,6 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     )
 
 
-def covered(n: int, found: list[dict]) -> np.ndarray:
-    """Flags of the words inside the stretches."""
-    change = np.zeros(n + 1, np.int64)
-    for s in found:
-        change[s["first"]] += 1
-        change[s["first"] + s["words"]] -= 1
-    return np.cumsum(change[:n]) > 0
-
-
 def dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -165,28 +157,36 @@ def dedup(
         "factors array<struct<first:int,words:int>>" + (", kept_text string" if keep else "")
     )
 
+    pair = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                words = (batch.column(2)[i].as_py() or "").encode().split()
-                spans_here = batch.column(3)[i].as_py() or []
-                gone = covered(len(words), spans_here)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                factors = [{"first": a, "words": b - a} for a, b in edges.reshape(-1, 2).tolist()]
-                columns = [
-                    batch.column(0).slice(i, 1),
-                    batch.column(1).slice(i, 1),
-                    pa.array([len(words)], pa.int64()),
-                    pa.array([int(gone.sum())], pa.int64()),
-                    pa.array([hashlib.sha256(kept).hexdigest()]),
-                    pa.array([factors], pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))),
-                ]
-                names = [id_col, "print", "n_words", "n_removed", "kept_sha256", "factors"]
+            n_words, n_removed, prints, factors, texts = [], [], [], [], []
+            for text, found in zip(batch.column(2), batch.column(3), strict=True):
+                words = (text.as_py() or "").encode().split()
+                gone = blocks.stretches(len(words), found)
+                n_words.append(len(words))
+                n_removed.append(sum(b - a for a, b in gone))
+                for a, b in reversed(gone):
+                    del words[a:b]
+                kept = b" ".join(words)
+                prints.append(hashlib.sha256(kept).hexdigest())
+                factors.append([{"first": a, "words": b - a} for a, b in gone])
                 if keep:
-                    columns.append(pa.array([kept.decode()]))
-                    names.append("kept_text")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    texts.append(kept.decode())
+            columns = [
+                batch.column(0),
+                batch.column(1),
+                pa.array(n_words, pa.int64()),
+                pa.array(n_removed, pa.int64()),
+                pa.array(prints, pa.string()),
+                pa.array(factors, pair),
+            ]
+            names = [id_col, "print", "n_words", "n_removed", "kept_sha256", "factors"]
+            if keep:
+                columns.append(pa.array(texts, pa.string()))
+                names.append("kept_text")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     cut_up = touched.join(named, same).select(*KEY, "text", "spans").mapInArrow(run, schema)
     as_is = others.select(*KEY, "text", none).mapInArrow(run, schema)

@@ -62,21 +62,21 @@ def _suffixes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data = batch.column(0)[i].as_py().encode()
-                lead, view = blocks.leading(np.frombuffer(data, np.uint8), LEAD), memoryview(data)
-                for b in batch.column(1)[i].as_py():
-                    at = np.arange(b["n"])
-                    places = b["first"] + at
-                    prints = [short_digest(view[p : p + length]) for p in places.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(lead[places]),
-                            pa.array(np.array(prints, np.uint64).view(np.int64)),
-                            pa.array(np.full(at.size, b["block"], np.int64)),
-                            pa.array(at.astype(np.int32)),
-                        ],
-                        names=["lead", "w", "block", "at"],
-                    )
+                data, opened = batch.column(0)[i].as_py().encode(), batch.column(1)[i].as_py()
+                sizes = [b["n"] for b in opened]
+                at = np.concatenate([np.arange(n) for n in sizes])
+                places = at + np.repeat([b["first"] for b in opened], sizes)
+                view = memoryview(data)
+                prints = [short_digest(view[p : p + length]) for p in places.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(blocks.leading(np.frombuffer(data, np.uint8), LEAD)[places]),
+                        pa.array(np.array(prints, np.uint64).view(np.int64)),
+                        pa.array(np.repeat(np.array([b["block"] for b in opened], np.int64), sizes)),
+                        pa.array(at.astype(np.int32)),
+                    ],
+                    names=["lead", "w", "block", "at"],
+                )
 
     return rows.mapInArrow(run, "lead long, w long, block long, at int")
 
@@ -175,17 +175,6 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     )
 
 
-def runs(size: int, found: list[dict]) -> list[tuple[int, int]]:
-    """The maximal stretches [start, end) that the found ones cover together."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted((s["first"], s["first"] + s["bytes"]) for s in found):
-        if out and start <= out[-1][1]:
-            out[-1] = out[-1][0], max(out[-1][1], end)
-        else:
-            out.append((start, min(end, size)))
-    return out
-
-
 def dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -206,33 +195,39 @@ def dedup(
         "kept_sha256 string, runs array<struct<start:int,end:int>>" + (", kept binary" if keep_bytes else "")
     )
 
+    pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = (batch.column(2)[i].as_py() or "").encode()
-                gone = runs(len(data), batch.column(3)[i].as_py() or [])
+            n_bytes, n_removed, prints, cuts, left = [], [], [], [], []
+            for text, found in zip(batch.column(2), batch.column(3), strict=True):
+                data = (text.as_py() or "").encode()
+                gone = blocks.stretches(len(data), found)
                 kept, at = [], 0
                 for start, end in [*gone, (len(data), len(data))]:
                     kept.append(data[at:start])
                     at = end
-                left = b"".join(kept)
-                columns = [
-                    batch.column(0).slice(i, 1),
-                    batch.column(1).slice(i, 1),
-                    pa.array([len(data)], pa.int64()),
-                    pa.array([len(data) - len(left)], pa.int64()),
-                    pa.array([len(gone)], pa.int64()),
-                    pa.array([hashlib.sha256(left).hexdigest()]),
-                    pa.array(
-                        [[{"start": a, "end": b} for a, b in gone]],
-                        pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
-                    ),
-                ]
-                names = [id_col, "print", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs"]
+                rest = b"".join(kept)
+                n_bytes.append(len(data))
+                n_removed.append(len(data) - len(rest))
+                prints.append(hashlib.sha256(rest).hexdigest())
+                cuts.append([{"start": a, "end": b} for a, b in gone])
                 if keep_bytes:
-                    columns.append(pa.array([left], pa.binary()))
-                    names.append("kept")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    left.append(rest)
+            columns = [
+                batch.column(0),
+                batch.column(1),
+                pa.array(n_bytes, pa.int64()),
+                pa.array(n_removed, pa.int64()),
+                pa.array(list(map(len, cuts)), pa.int64()),
+                pa.array(prints, pa.string()),
+                pa.array(cuts, pair),
+            ]
+            names = [id_col, "print", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs"]
+            if keep_bytes:
+                columns.append(pa.array(left, pa.binary()))
+                names.append("kept")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     none = F.lit(None).cast(found.schema["spans"].dataType).alias("spans")
     cut_up = touched.join(named, same).select(*KEY, "text", "spans").mapInArrow(run, schema)
