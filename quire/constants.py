@@ -1,239 +1,238 @@
 """The subject codes and the place names the analyses rely on."""
 
 # Subject code and subject name, one pair per line.
-_SUBJECTS = """
-astro-ph|Astrophysics
-astro-ph.CO|Cosmology and Nongalactic Astrophysics
-astro-ph.EP|Earth and Planetary Astrophysics
-astro-ph.GA|Astrophysics of Galaxies
-astro-ph.HE|High Energy Astrophysical Phenomena
-astro-ph.IM|Instrumentation and Methods for Astrophysics
-astro-ph.SR|Solar and Stellar Astrophysics
-cond-mat.dis-nn|Disordered Systems and Neural Networks
-cond-mat.mes-hall|Mesoscale and Nanoscale Physics
-cond-mat.mtrl-sci|Materials Science
-cond-mat.other|Other Condensed Matter
-cond-mat.quant-gas|Quantum Gases
-cond-mat.soft|Soft Condensed Matter
-cond-mat.stat-mech|Statistical Mechanics
-cond-mat.str-el|Strongly Correlated Electrons
-cond-mat.supr-con|Superconductivity
-cs.AI|Artificial Intelligence
-cs.AR|Hardware Architecture
-cs.CC|Computational Complexity
-cs.CE|Computational Engineering, Finance, and Science
-cs.CG|Computational Geometry
-cs.CL|Computation and Language
-cs.CR|Cryptography and Security
-cs.CV|Computer Vision and Pattern Recognition
-cs.CY|Computers and Society
-cs.DB|Databases
-cs.DC|Distributed, Parallel, and Cluster Computing
-cs.DL|Digital Libraries
-cs.DM|Discrete Mathematics
-cs.DS|Data Structures and Algorithms
-cs.ET|Emerging Technologies
-cs.FL|Formal Languages and Automata Theory
-cs.GL|General Literature
-cs.GR|Graphics
-cs.GT|Computer Science and Game Theory
-cs.HC|Human-Computer Interaction
-cs.IR|Information Retrieval
-cs.IT|Information Theory
-cs.LG|Machine Learning
-cs.LO|Logic in Computer Science
-cs.MA|Multiagent Systems
-cs.MM|Multimedia
-cs.MS|Mathematical Software
-cs.NA|Numerical Analysis
-cs.NE|Neural and Evolutionary Computing
-cs.NI|Networking and Internet Architecture
-cs.OH|Other Computer Science
-cs.OS|Operating Systems
-cs.PF|Performance
-cs.PL|Programming Languages
-cs.RO|Robotics
-cs.SC|Symbolic Computation
-cs.SD|Sound
-cs.SE|Software Engineering
-cs.SI|Social and Information Networks
-cs.SY|Systems and Control
-econ.EM|Econometrics
-eess.AS|Audio and Speech Processing
-eess.IV|Image and Video Processing
-eess.SP|Signal Processing
-gr-qc|General Relativity and Quantum Cosmology
-hep-ex|High Energy Physics - Experiment
-hep-lat|High Energy Physics - Lattice
-hep-ph|High Energy Physics - Phenomenology
-hep-th|High Energy Physics - Theory
-math.AC|Commutative Algebra
-math.AG|Algebraic Geometry
-math.AP|Analysis of PDEs
-math.AT|Algebraic Topology
-math.CA|Classical Analysis and ODEs
-math.CO|Combinatorics
-math.CT|Category Theory
-math.CV|Complex Variables
-math.DG|Differential Geometry
-math.DS|Dynamical Systems
-math.FA|Functional Analysis
-math.GM|General Mathematics
-math.GN|General Topology
-math.GR|Group Theory
-math.GT|Geometric Topology
-math.HO|History and Overview
-math.IT|Information Theory
-math.KT|K-Theory and Homology
-math.LO|Logic
-math.MG|Metric Geometry
-math.MP|Mathematical Physics
-math.NA|Numerical Analysis
-math.NT|Number Theory
-math.OA|Operator Algebras
-math.OC|Optimization and Control
-math.PR|Probability
-math.QA|Quantum Algebra
-math.RA|Rings and Algebras
-math.RT|Representation Theory
-math.SG|Symplectic Geometry
-math.SP|Spectral Theory
-math.ST|Statistics Theory
-math-ph|Mathematical Physics
-nlin.AO|Adaptation and Self-Organizing Systems
-nlin.CD|Chaotic Dynamics
-nlin.CG|Cellular Automata and Lattice Gases
-nlin.PS|Pattern Formation and Solitons
-nlin.SI|Exactly Solvable and Integrable Systems
-nucl-ex|Nuclear Experiment
-nucl-th|Nuclear Theory
-physics.acc-ph|Accelerator Physics
-physics.ao-ph|Atmospheric and Oceanic Physics
-physics.app-ph|Applied Physics
-physics.atm-clus|Atomic and Molecular Clusters
-physics.atom-ph|Atomic Physics
-physics.bio-ph|Biological Physics
-physics.chem-ph|Chemical Physics
-physics.class-ph|Classical Physics
-physics.comp-ph|Computational Physics
-physics.data-an|Data Analysis, Statistics and Probability
-physics.ed-ph|Physics Education
-physics.flu-dyn|Fluid Dynamics
-physics.gen-ph|General Physics
-physics.geo-ph|Geophysics
-physics.hist-ph|History and Philosophy of Physics
-physics.ins-det|Instrumentation and Detectors
-physics.med-ph|Medical Physics
-physics.optics|Optics
-physics.plasm-ph|Plasma Physics
-physics.pop-ph|Popular Physics
-physics.soc-ph|Physics and Society
-physics.space-ph|Space Physics
-q-bio.BM|Biomolecules
-q-bio.CB|Cell Behavior
-q-bio.GN|Genomics
-q-bio.MN|Molecular Networks
-q-bio.NC|Neurons and Cognition
-q-bio.OT|Other Quantitative Biology
-q-bio.PE|Populations and Evolution
-q-bio.QM|Quantitative Methods
-q-bio.SC|Subcellular Processes
-q-bio.TO|Tissues and Organs
-q-fin.CP|Computational Finance
-q-fin.EC|Economics
-q-fin.GN|General Finance
-q-fin.MF|Mathematical Finance
-q-fin.PM|Portfolio Management
-q-fin.PR|Pricing of Securities
-q-fin.RM|Risk Management
-q-fin.ST|Statistical Finance
-q-fin.TR|Trading and Market Microstructure
-quant-ph|Quantum Physics
-stat.AP|Applications
-stat.CO|Computation
-stat.ME|Methodology
-stat.ML|Machine Learning
-stat.OT|Other Statistics
-stat.TH|Statistics Theory
-"""
+SUBJECTS: list[tuple[str, str]] = [
+    ('astro-ph', 'Astrophysics'),
+    ('astro-ph.CO', 'Cosmology and Nongalactic Astrophysics'),
+    ('astro-ph.EP', 'Earth and Planetary Astrophysics'),
+    ('astro-ph.GA', 'Astrophysics of Galaxies'),
+    ('astro-ph.HE', 'High Energy Astrophysical Phenomena'),
+    ('astro-ph.IM', 'Instrumentation and Methods for Astrophysics'),
+    ('astro-ph.SR', 'Solar and Stellar Astrophysics'),
+    ('cond-mat.dis-nn', 'Disordered Systems and Neural Networks'),
+    ('cond-mat.mes-hall', 'Mesoscale and Nanoscale Physics'),
+    ('cond-mat.mtrl-sci', 'Materials Science'),
+    ('cond-mat.other', 'Other Condensed Matter'),
+    ('cond-mat.quant-gas', 'Quantum Gases'),
+    ('cond-mat.soft', 'Soft Condensed Matter'),
+    ('cond-mat.stat-mech', 'Statistical Mechanics'),
+    ('cond-mat.str-el', 'Strongly Correlated Electrons'),
+    ('cond-mat.supr-con', 'Superconductivity'),
+    ('cs.AI', 'Artificial Intelligence'),
+    ('cs.AR', 'Hardware Architecture'),
+    ('cs.CC', 'Computational Complexity'),
+    ('cs.CE', 'Computational Engineering, Finance, and Science'),
+    ('cs.CG', 'Computational Geometry'),
+    ('cs.CL', 'Computation and Language'),
+    ('cs.CR', 'Cryptography and Security'),
+    ('cs.CV', 'Computer Vision and Pattern Recognition'),
+    ('cs.CY', 'Computers and Society'),
+    ('cs.DB', 'Databases'),
+    ('cs.DC', 'Distributed, Parallel, and Cluster Computing'),
+    ('cs.DL', 'Digital Libraries'),
+    ('cs.DM', 'Discrete Mathematics'),
+    ('cs.DS', 'Data Structures and Algorithms'),
+    ('cs.ET', 'Emerging Technologies'),
+    ('cs.FL', 'Formal Languages and Automata Theory'),
+    ('cs.GL', 'General Literature'),
+    ('cs.GR', 'Graphics'),
+    ('cs.GT', 'Computer Science and Game Theory'),
+    ('cs.HC', 'Human-Computer Interaction'),
+    ('cs.IR', 'Information Retrieval'),
+    ('cs.IT', 'Information Theory'),
+    ('cs.LG', 'Machine Learning'),
+    ('cs.LO', 'Logic in Computer Science'),
+    ('cs.MA', 'Multiagent Systems'),
+    ('cs.MM', 'Multimedia'),
+    ('cs.MS', 'Mathematical Software'),
+    ('cs.NA', 'Numerical Analysis'),
+    ('cs.NE', 'Neural and Evolutionary Computing'),
+    ('cs.NI', 'Networking and Internet Architecture'),
+    ('cs.OH', 'Other Computer Science'),
+    ('cs.OS', 'Operating Systems'),
+    ('cs.PF', 'Performance'),
+    ('cs.PL', 'Programming Languages'),
+    ('cs.RO', 'Robotics'),
+    ('cs.SC', 'Symbolic Computation'),
+    ('cs.SD', 'Sound'),
+    ('cs.SE', 'Software Engineering'),
+    ('cs.SI', 'Social and Information Networks'),
+    ('cs.SY', 'Systems and Control'),
+    ('econ.EM', 'Econometrics'),
+    ('eess.AS', 'Audio and Speech Processing'),
+    ('eess.IV', 'Image and Video Processing'),
+    ('eess.SP', 'Signal Processing'),
+    ('gr-qc', 'General Relativity and Quantum Cosmology'),
+    ('hep-ex', 'High Energy Physics - Experiment'),
+    ('hep-lat', 'High Energy Physics - Lattice'),
+    ('hep-ph', 'High Energy Physics - Phenomenology'),
+    ('hep-th', 'High Energy Physics - Theory'),
+    ('math.AC', 'Commutative Algebra'),
+    ('math.AG', 'Algebraic Geometry'),
+    ('math.AP', 'Analysis of PDEs'),
+    ('math.AT', 'Algebraic Topology'),
+    ('math.CA', 'Classical Analysis and ODEs'),
+    ('math.CO', 'Combinatorics'),
+    ('math.CT', 'Category Theory'),
+    ('math.CV', 'Complex Variables'),
+    ('math.DG', 'Differential Geometry'),
+    ('math.DS', 'Dynamical Systems'),
+    ('math.FA', 'Functional Analysis'),
+    ('math.GM', 'General Mathematics'),
+    ('math.GN', 'General Topology'),
+    ('math.GR', 'Group Theory'),
+    ('math.GT', 'Geometric Topology'),
+    ('math.HO', 'History and Overview'),
+    ('math.IT', 'Information Theory'),
+    ('math.KT', 'K-Theory and Homology'),
+    ('math.LO', 'Logic'),
+    ('math.MG', 'Metric Geometry'),
+    ('math.MP', 'Mathematical Physics'),
+    ('math.NA', 'Numerical Analysis'),
+    ('math.NT', 'Number Theory'),
+    ('math.OA', 'Operator Algebras'),
+    ('math.OC', 'Optimization and Control'),
+    ('math.PR', 'Probability'),
+    ('math.QA', 'Quantum Algebra'),
+    ('math.RA', 'Rings and Algebras'),
+    ('math.RT', 'Representation Theory'),
+    ('math.SG', 'Symplectic Geometry'),
+    ('math.SP', 'Spectral Theory'),
+    ('math.ST', 'Statistics Theory'),
+    ('math-ph', 'Mathematical Physics'),
+    ('nlin.AO', 'Adaptation and Self-Organizing Systems'),
+    ('nlin.CD', 'Chaotic Dynamics'),
+    ('nlin.CG', 'Cellular Automata and Lattice Gases'),
+    ('nlin.PS', 'Pattern Formation and Solitons'),
+    ('nlin.SI', 'Exactly Solvable and Integrable Systems'),
+    ('nucl-ex', 'Nuclear Experiment'),
+    ('nucl-th', 'Nuclear Theory'),
+    ('physics.acc-ph', 'Accelerator Physics'),
+    ('physics.ao-ph', 'Atmospheric and Oceanic Physics'),
+    ('physics.app-ph', 'Applied Physics'),
+    ('physics.atm-clus', 'Atomic and Molecular Clusters'),
+    ('physics.atom-ph', 'Atomic Physics'),
+    ('physics.bio-ph', 'Biological Physics'),
+    ('physics.chem-ph', 'Chemical Physics'),
+    ('physics.class-ph', 'Classical Physics'),
+    ('physics.comp-ph', 'Computational Physics'),
+    ('physics.data-an', 'Data Analysis, Statistics and Probability'),
+    ('physics.ed-ph', 'Physics Education'),
+    ('physics.flu-dyn', 'Fluid Dynamics'),
+    ('physics.gen-ph', 'General Physics'),
+    ('physics.geo-ph', 'Geophysics'),
+    ('physics.hist-ph', 'History and Philosophy of Physics'),
+    ('physics.ins-det', 'Instrumentation and Detectors'),
+    ('physics.med-ph', 'Medical Physics'),
+    ('physics.optics', 'Optics'),
+    ('physics.plasm-ph', 'Plasma Physics'),
+    ('physics.pop-ph', 'Popular Physics'),
+    ('physics.soc-ph', 'Physics and Society'),
+    ('physics.space-ph', 'Space Physics'),
+    ('q-bio.BM', 'Biomolecules'),
+    ('q-bio.CB', 'Cell Behavior'),
+    ('q-bio.GN', 'Genomics'),
+    ('q-bio.MN', 'Molecular Networks'),
+    ('q-bio.NC', 'Neurons and Cognition'),
+    ('q-bio.OT', 'Other Quantitative Biology'),
+    ('q-bio.PE', 'Populations and Evolution'),
+    ('q-bio.QM', 'Quantitative Methods'),
+    ('q-bio.SC', 'Subcellular Processes'),
+    ('q-bio.TO', 'Tissues and Organs'),
+    ('q-fin.CP', 'Computational Finance'),
+    ('q-fin.EC', 'Economics'),
+    ('q-fin.GN', 'General Finance'),
+    ('q-fin.MF', 'Mathematical Finance'),
+    ('q-fin.PM', 'Portfolio Management'),
+    ('q-fin.PR', 'Pricing of Securities'),
+    ('q-fin.RM', 'Risk Management'),
+    ('q-fin.ST', 'Statistical Finance'),
+    ('q-fin.TR', 'Trading and Market Microstructure'),
+    ('quant-ph', 'Quantum Physics'),
+    ('stat.AP', 'Applications'),
+    ('stat.CO', 'Computation'),
+    ('stat.ME', 'Methodology'),
+    ('stat.ML', 'Machine Learning'),
+    ('stat.OT', 'Other Statistics'),
+    ('stat.TH', 'Statistics Theory'),
+]
 
 # Places, institutes and collaborations that author cleaning leaves
 # behind as if they were names (the two blanks in one of them are meant).
-_NON_PERSON_NAMES = """
-dubna
-japan
-infn
-department of physics
-the netherlands
-trieste
-bonn
-ukraine
-heidelberg
-australia
-stsci
-eso
-korea
-switzerland
-israel
-canada
-mexico
-caltech
-poland
-cambridge
-spain
-garching
-india
-uk
-et al
-moscow
-usa
-france
-russia
-italy
-germany
-brazil
-astronomy
-d  collaboration
-the opal collaboration
-the babar collaboration
-madrid
-berkeley
-mit
-astrophysics
-cfa
-bangalore
-chile
-princeton
-china
-nasa gsfc
-beijing
-argentina
-edinburgh
-nrao
-roma
-"""
+NON_PERSON_NAMES: list[str] = [
+    "dubna",
+    "japan",
+    "infn",
+    "department of physics",
+    "the netherlands",
+    "trieste",
+    "bonn",
+    "ukraine",
+    "heidelberg",
+    "australia",
+    "stsci",
+    "eso",
+    "korea",
+    "switzerland",
+    "israel",
+    "canada",
+    "mexico",
+    "caltech",
+    "poland",
+    "cambridge",
+    "spain",
+    "garching",
+    "india",
+    "uk",
+    "et al",
+    "moscow",
+    "usa",
+    "france",
+    "russia",
+    "italy",
+    "germany",
+    "brazil",
+    "astronomy",
+    "d  collaboration",
+    "the opal collaboration",
+    "the babar collaboration",
+    "madrid",
+    "berkeley",
+    "mit",
+    "astrophysics",
+    "cfa",
+    "bangalore",
+    "chile",
+    "princeton",
+    "china",
+    "nasa gsfc",
+    "beijing",
+    "argentina",
+    "edinburgh",
+    "nrao",
+    "roma",
+]
 
 # Spark's own list of English stop words.
-_STOP_WORDS = """
-i me my myself we our ours ourselves you your yours yourself yourselves he him his
-himself she her hers herself it its itself they them their theirs themselves what which
-who whom this that these those am is are was were be been being have has had having do
-does did doing a an the and but if or because as until while of at by for with about
-against between into through during before after above below to from up down in out on
-off over under again further then once here there when where why how all any both each
-few more most other some such no nor not only own same so than too very s t can will
-just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
-they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't
-wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't
-shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's
-what's when's where's who's why's would
-"""
-
-SUBJECTS: list[tuple[str, str]] = [
-    tuple(line.split("|")) for line in _SUBJECTS.strip().splitlines()
+ENGLISH_STOP_WORDS: list[str] = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours",
+    "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself",
+    "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which",
+    "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were", "be",
+    "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an",
+    "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for",
+    "with", "about", "against", "between", "into", "through", "during", "before", "after",
+    "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under",
+    "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all",
+    "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not",
+    "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don",
+    "should", "now", "i'll", "you'll", "he'll", "she'll", "we'll", "they'll", "i'd", "you'd",
+    "he'd", "she'd", "we'd", "they'd", "i'm", "you're", "he's", "she's", "it's", "we're",
+    "they're", "i've", "we've", "you've", "they've", "isn't", "aren't", "wasn't", "weren't",
+    "haven't", "hasn't", "hadn't", "don't", "doesn't", "didn't", "won't", "wouldn't", "shan't",
+    "shouldn't", "mustn't", "can't", "couldn't", "cannot", "could", "here's", "how's", "let's",
+    "ought", "that's", "there's", "what's", "when's", "where's", "who's", "why's", "would",
 ]
-NON_PERSON_NAMES: list[str] = _NON_PERSON_NAMES.strip().splitlines()
-ENGLISH_STOP_WORDS: list[str] = _STOP_WORDS.split()
 
 # Year ranges, split shares and seeds used by the analyses.
 INGEST_AFTER, INGEST_BEFORE = 1991, 2010  # both ends open

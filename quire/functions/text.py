@@ -12,15 +12,14 @@ from quire.functions import patterns as P
 from quire.functions.scalars import let
 
 # Words that a treebank tokenizer cuts in two (first|second part).
-_TWO_PART_WORDS = """
-can|not
-gim|me
-gon|na
-got|ta
-lem|me
-wan|na
-"""
-TWO_PART_WORDS = [tuple(line.split("|")) for line in _TWO_PART_WORDS.strip().splitlines()]
+TWO_PART_WORDS: list[tuple[str, str]] = [
+    ('can', 'not'),
+    ('gim', 'me'),
+    ('gon', 'na'),
+    ('got', 'ta'),
+    ('lem', 'me'),
+    ('wan', 'na'),
+]
 
 
 def clean_letters(text: Column) -> Column:

@@ -44,7 +44,11 @@ def year_words(papers: DataFrame) -> DataFrame:
 
 
 def top_authors_per_year(counts: DataFrame, k: int = K.TOP_AUTHORS) -> DataFrame:
-    """The ``k`` most frequent authors of each year, ties by name."""
+    """The ``k`` most frequent authors of each year, ties by name.
+
+    A year with fewer than ``k`` authors gives fewer rows: no author with a count
+    of 0 is listed to fill it up.
+    """
     return top_n_per_group(counts, "year", "count", "author", k)
 
 

@@ -94,7 +94,7 @@ def written_table(spark, sf_dir, sep, columns=None):
 @query("S4 S8", with_views(PAPERS) + f"SELECT {SHORT} FROM papers")
 def tsv_round_trip(spark, sf_dir):
     path = written_table(spark, sf_dir, "\t")
-    return short(readers.read_table(spark, path, PAPER_TEXT_TABLE, "\t"))
+    return short(readers.read_table(spark, path, PAPER_TEXT_TABLE, "\t", multi_line=True))
 
 
 @query("S5 S9", with_views(PAPERS) + f"SELECT {SHORT} FROM papers")
@@ -103,13 +103,13 @@ def csv_round_trip(spark, sf_dir):
     numbered = ordering.dense_position(papers(spark, sf_dir), "id", "row")
     df = numbered.select(F.col("row").cast("string").alias("_row"), *PAPER_TEXT_TABLE.names)
     path = written_table(spark, sf_dir, ",", df)
-    return short(readers.read_table(spark, path, PAPER_TEXT_TABLE, ",", index_col=True))
+    return short(readers.read_table(spark, path, PAPER_TEXT_TABLE, ",", index_col=True, multi_line=True))
 
 
 @query("S6", with_views(PAPERS) + f"SELECT {SHORT} FROM papers ORDER BY id LIMIT 400")
 def first_rows_of_file(spark, sf_dir):
     path = written_table(spark, sf_dir, "\t")
-    return short(readers.read_table(spark, path, PAPER_TEXT_TABLE, "\t", nrows=400))
+    return short(readers.read_table(spark, path, PAPER_TEXT_TABLE, "\t", nrows=400, multi_line=True))
 
 
 @query(
@@ -126,13 +126,43 @@ def vector_file(spark, sf_dir):
     )
 
 
+# Some codes of the public subject list, and some that never were on it.
+LISTED = ["astro-ph", "cs.AI", "cs.LG", "hep-th", "math.CO", "quant-ph", "stat.ML"]
+UNLISTED = ["cs.XX", "foo.bar", "cs", "CS.AI", "cs.AI cs.LG"]
+
+
+def coded(spark, sf_dir):
+    """Papers whose category is one of these codes, by turns."""
+    codes = F.array(*[F.lit(c) for c in LISTED + UNLISTED])
+    turn = F.pmod(F.col("id").cast("bigint"), F.lit(len(LISTED + UNLISTED))).cast("int")
+    return papers(spark, sf_dir).withColumn("categories", F.get(codes, turn))
+
+
+CODED = f"""coded AS (SELECT * REPLACE ({LISTED + UNLISTED}[(CAST(id AS BIGINT) % {len(LISTED + UNLISTED)}) + 1] AS categories)
+  FROM papers)"""
+
+
 @query(
     "S12 J2 U1",
-    "SELECT DISTINCT lang || '.' || source || CASE WHEN doc_id % 29 = 0 THEN ' ' || lang || '.src0' ELSE '' END AS code FROM documents",
+    with_views(PAPERS, CODED)
+    + f"SELECT DISTINCT categories AS code FROM coded WHERE categories IN ({str(UNLISTED)[1:-1]})",
 )
 def unknown_subjects(spark, sf_dir):
     """Codes of the corpus that the fixed subject list lacks."""
-    return joins.unknown_categories(papers(spark, sf_dir), readers.category_dim(spark))
+    return joins.unknown_categories(coded(spark, sf_dir), readers.category_dim(spark))
+
+
+@query(
+    "P2 J1 S12",
+    with_views(PAPERS, CODED)
+    + f"""SELECT id, categories, update_date FROM coded WHERE categories IN ({str(LISTED)[1:-1]})
+AND TRY_CAST(substr(update_date, 1, 4) AS INTEGER) > 1991
+AND TRY_CAST(substr(update_date, 1, 4) AS INTEGER) < 2010""",
+)
+def ingest_filter_by_subject(spark, sf_dir):
+    """The ingest filter with the fixed subject list."""
+    kept = ops.ingest_filter(coded(spark, sf_dir), readers.category_dim(spark))
+    return kept.select("id", "categories", "update_date")
 
 
 @query(

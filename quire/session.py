@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: tempfile.TemporaryDirectory | None = None
+_written: list[str] = []
 
 
 def build_session(app: str = "quire", master: str | None = None, **conf: object) -> SparkSession:
@@ -46,7 +47,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = _local_base()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def _local_base() -> str:
@@ -69,6 +71,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every table this process wrote to the scratch folder.
+
+    For the end of a job: frames that still read such a table are void afterwards.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Repartition an input that arrives as fewer pieces than there are cores.
 
@@ -76,4 +89,5 @@ def spread_small(df: DataFrame) -> DataFrame:
     cluster's size come in more pieces than cores and are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    pieces = len(df.inputFiles())
+    return df.repartition(cores) if pieces < cores else df

@@ -27,9 +27,13 @@ def read_table(
     nrows: int | None = None,
     id_col: str = "id",
     index_col: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Delimited text with a header line; quoted fields may hold line breaks and
-    doubled quotes. ``index_col`` skips a leading row-number column. ``nrows``
+    """Delimited text with a header line; quoted fields may hold doubled quotes.
+
+    A file is read by many tasks. Only if fields hold line breaks set
+    ``multi_line``: then a file is one task, so write many files and convert them
+    to Parquet once. ``index_col`` skips a leading row-number column. ``nrows``
     keeps the rows with the smallest ids."""
     if index_col:
         schema = T.StructType([T.StructField("_c0", T.StringType()), *schema.fields])
@@ -37,7 +41,7 @@ def read_table(
         spark.read.schema(schema)
         .option("sep", sep)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("enforceSchema", True)
         .csv(path)
