@@ -37,13 +37,20 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def own_prefix(docs: DataFrame) -> str:
+    """A prefix that no column of ``docs`` begins with, for helper columns beside them."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` whose (id, text hash) is not in the written table ``gone``
     with the columns ``id`` and ``print``; null-safe, all columns kept."""
-    named = gone.select(F.col("id").alias("__gone_id"), F.col("print").alias("__gone_print"))
+    p = own_prefix(docs)
+    named = gone.select(F.col("id").alias(f"{p}id"), F.col("print").alias(f"{p}print"))
     if named.count() <= SENT_KEYS:
         named = F.broadcast(named)
-    same = (text_hash(docs[text_col]) == F.col("__gone_print")) & docs[id_col].eqNullSafe(
-        F.col("__gone_id")
-    )
+    same = (text_hash(docs[text_col]) == F.col(f"{p}print")) & docs[id_col].eqNullSafe(F.col(f"{p}id"))
     return docs.join(named, same, "left_anti")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SENT_KEYS, SPACES, text_hash
+from quire.llm.common import SENT_KEYS, SPACES, own_prefix, text_hash
 from quire.session import materialise
 
 #: Sites from which on a line is boilerplate, and the sketch's size (log2 of registers).
@@ -106,18 +106,19 @@ def removed(
     removed (they replace columns of these names).
     """
     found = _found(docs, id_col, text_col, site_col, sites)
+    p = own_prefix(docs)
     named = found.select(
-        F.col("id").alias("__id"), F.col("print").alias("__print"), F.col("bad").alias("__bad")
+        F.col("id").alias(f"{p}id"), F.col("print").alias(f"{p}print"), F.col("bad").alias(f"{p}bad")
     )
-    keys = named.drop("__bad")
+    keys = named.drop(f"{p}bad")
     if found.count() <= SENT_KEYS:
         keys = F.broadcast(keys)
-    same = (text_hash(F.col(text_col)) == F.col("__print")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    same = (text_hash(F.col(text_col)) == F.col(f"{p}print")) & F.col(id_col).eqNullSafe(F.col(f"{p}id"))
     columns = [c for c in docs.columns if c not in (counts or ())]
     rows = docs.select(*columns)
-    touched = rows.join(keys, same, "left_semi").join(named, same).drop("__id", "__print")
+    touched = rows.join(keys, same, "left_semi").join(named, same).drop(f"{p}id", f"{p}print")
     hashed = touched.withColumn(
-        "__lines",
+        f"{p}lines",
         F.transform(
             F.split(F.col(text_col).cast("string"), "\n"),
             lambda x: F.xxhash64(F.btrim(x, F.lit(SPACES))),
