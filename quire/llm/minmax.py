@@ -13,8 +13,12 @@ pairs of a band bucket have to be looked at:
    others is the centre, and only pairs with the centre are candidates.
 2. Every node is compared with its most central centre, then with its other
    centres where both sides are not linked yet.
-3. In buckets that still hold several groups, every pair across groups is
-   compared that was not before. Only these can link anything new.
+3. In buckets that still hold several groups, pairs across groups are candidates
+   that were none before; only these can link anything new. Small buckets give
+   all such pairs. In large ones a longer min-max sketch (1,024 values of a byte)
+   of each node is compared inside the task, and only pairs within six standard
+   errors of the threshold leave it; very large ones are cut into parts that meet
+   two by two.
 
 Defined cases: a null or wordless text has no shingle, is linked with nothing and
 its own group; with fewer words than a shingle the whole text is one; a null id is
@@ -29,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -41,14 +46,17 @@ from quire.llm.graph import components
 from quire.session import materialise
 
 PERMUTATIONS, BAND = 64, 4
+#: Permutations of the longer sketch; sets of a bucket that are paired without it;
+#: nodes that a task compares with each other.
+SKETCH, SMALL_BUCKET, PART = 512, 32, 4096
 _CAPITALS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _AT_ONCE = 4096
 
 
-def _factors() -> tuple[np.ndarray, np.ndarray]:
+def _factors(count: int) -> tuple[np.ndarray, np.ndarray]:
     """Fixed numbers that tell the permutations apart, made by a rule."""
-    seeds = blocks.scramble(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64))
-    return seeds[:PERMUTATIONS], seeds[PERMUTATIONS:] | np.uint64(1)
+    seeds = blocks.scramble(np.arange(1, 2 * count + 1, dtype=np.uint64))
+    return seeds[:count], seeds[count:] | np.uint64(1)
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -59,11 +67,11 @@ def shingles(text: str, size: int) -> np.ndarray:
     return np.unique(blocks.grams(words.values(), min(size, words.n)))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, count: int = PERMUTATIONS) -> np.ndarray:
     """Minima, then maxima, of every permutation of a non-empty set."""
-    shift, factor = _factors()
-    low = np.full(PERMUTATIONS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    high = np.zeros(PERMUTATIONS, np.uint64)
+    shift, factor = _factors(count)
+    low = np.full(count, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    high = np.zeros(count, np.uint64)
     for at in range(0, hashes.size, _AT_ONCE):
         part = (hashes[at : at + _AT_ONCE, None] ^ shift) * factor
         np.minimum(low, part.min(axis=0), out=low)
@@ -76,6 +84,11 @@ def estimate(one: np.ndarray, other: np.ndarray) -> float:
     return float(np.mean(one == other))
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A byte of each value of a longer signature."""
+    return (blocks.scramble(signature(hashes, SKETCH)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
 def bands(values: np.ndarray) -> np.ndarray:
     """One 64-bit key per band; equal values in different bands get different keys."""
     rows = values.reshape(-1, BAND)
@@ -147,6 +160,55 @@ def _similar_size(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _close_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different groups inside each bucket (key, c, node, n, root)
+    whose sketches don't rule the similarity out."""
+    share = percent / 100
+    least = share - 6 * (share * (1 - share) / (2 * SKETCH)) ** 0.5
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [sketch(x.values.to_numpy().view(np.uint64)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(drawn, pa.binary())], names=["node", "sketch"]
+            )
+
+    wanted = buckets.select("node").distinct()
+    sketches = sets.join(wanted, "node", "left_semi").mapInArrow(draw, "node long, sketch binary")
+    parts = F.ceil(F.col("c") / PART).cast("int")
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    other = F.explode(F.sequence(F.lit(0), parts - 1))
+    rows = (
+        buckets.join(sketches, "node")
+        .select("key", "node", "n", "root", "sketch", part.alias("part"), other.alias("other"))
+        .withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+        .drop("other")
+    )
+
+    def compare(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("node").reset_index(drop=True)
+        node, root, n, part = (df[c].to_numpy() for c in ("node", "root", "n", "part"))
+        drawn = np.frombuffer(b"".join(df["sketch"]), np.uint8).reshape(len(df), -1)
+        groups_here, sizes = np.unique(root, return_counts=True)
+        minor = root != groups_here[sizes.argmax()]  # two of the largest group need no look
+        a, b = [], []
+        for i in np.flatnonzero(minor):
+            fits = root != root[i]
+            if df["low"][0] != df["high"][0]:
+                fits &= part != part[i]
+            fits &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+            fits[: i + 1] &= ~minor[: i + 1]  # pairs of two others come up once
+            at = np.flatnonzero(fits)
+            equal = (drawn[at] == drawn[i]).mean(axis=1)
+            at = at[(equal - 1 / 256) / (1 - 1 / 256) >= least]
+            a.append(np.minimum(node[i], node[at]))
+            b.append(np.maximum(node[i], node[at]))
+        none = [np.empty(0, np.int64)]
+        return pd.DataFrame({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+    return rows.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long")
+
+
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -202,17 +264,24 @@ def groups(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     links = links.unionByName(more)
     rooted = materialise(_roots(wanted.select("node"), links), "roots")
 
-    # Buckets that still hold several groups: all pairs across groups, once.
-    inside = buckets.select("key", "node", "n").join(rooted, "node")
-    mixed = inside.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2")
-    left = materialise(inside.join(mixed.select("key"), "key"), "mixed-buckets")
-    right = left.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    rest = (
-        left.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    # Buckets that still hold several groups.
+    inside = buckets.select("key", "c", "node", "n").join(rooted, "node")
+    mixed = materialise(
+        inside.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key"),
+        "mixed-keys",
+    )
+    left = materialise(inside.join(mixed, "key"), "mixed-buckets")
+    few = left.where(F.col("c") <= SMALL_BUCKET)
+    right = few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    pairs = (
+        few.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
         .join(right, "key")
         .where("a < b AND ra <> rb")
         .where(_similar_size("na", "nb", percent))
         .select("a", "b")
+    )
+    rest = (
+        pairs.unionByName(_close_pairs(left.where(F.col("c") > SMALL_BUCKET), sets, percent))
         .distinct()
         .join(stars.select("a", "b"), ["a", "b"], "left_anti")
         .join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
@@ -234,7 +303,8 @@ def near_duplicates(
     own = blocks.documents(docs, id_col, text_col)
     base, rooted = groups(own, size, percent)
     rooted = materialise(rooted.select("d1", "d2", "first", "root"), "rooted")
-    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    # Written, so that the join with a very large group can be split.
+    best = materialise(rooted.groupBy("root").agg(F.min("first").alias("best")), "group-first")
     named = rooted.join(best, "root").select("d1", "d2", "best")
     return (
         base.select(*KEY, "n", "d1", "d2")
