@@ -60,11 +60,21 @@ def test_groups_against_brute_force(docs_of, odd, size):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute(rows, size))
     stand = defaultdict(int)
     for r in got:
-        if r.n_shingles and r.doc_id != 4:  # 4 has two texts, in groups of their own
+        if r.n_shingles and r.component_id != 4:  # 4 has two texts, in groups of their own
             stand[r.component_id] += r.stands
     assert set(stand.values()) == {1}
 
 
+@pytest.mark.parametrize("small,part", [(2, 4096), (0, 20)])
+def test_large_buckets_by_sketches(docs_of, small, part, monkeypatch):
+    """All buckets, or those of three and more, through the sketches; and cut into parts."""
+    monkeypatch.setattr(minmax, "SMALL_BUCKET", small)
+    monkeypatch.setattr(minmax, "PART", part)
+    rows = edited(9, 220, 14)
+    got = minmax.near_duplicates(docs_of(rows), size=2).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute(rows, 2))
+
+
 def test_whole_table_against_brute_force(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
