@@ -134,11 +134,36 @@ def score(model: Model, df: DataFrame, id_col: str = "id") -> DataFrame:
 
 def training_history(model: Model) -> DataFrame:
     """(iteration, loss) of an iterative fit."""
-    losses = [(i, float(loss)) for i, loss in enumerate(model.summary.objectiveHistory)]
-    spark = model.summary.predictions.sparkSession
+    summary = model.summary() if callable(model.summary) else model.summary
+    losses = [(i, float(loss)) for i, loss in enumerate(summary.objectiveHistory)]
+    spark = summary.predictions.sparkSession
     return spark.createDataFrame(losses, "iteration int, loss double")
 
 
+def validated_history(
+    train: DataFrame, valid: DataFrame, rounds: Sequence[int] = (1, 2, 4, 8, 16, 32)
+) -> DataFrame:
+    """(epoch, loss, valid_loss, valid_accuracy) of a logistic regression that is
+    stopped after each of these numbers of passes.
+
+    The solver has no randomness, so the stopped fits lie on one path; each costs
+    as many passes as it is long.
+    """
+    rows = []
+    for epoch in rounds:
+        model = logistic_regression(train, max_iter=epoch, tol=0.0)
+        given = F.get(vector_to_array("probability"), F.col("label").cast("int"))
+        scored = model.transform(valid).agg(
+            F.avg(-F.log(F.greatest(given, F.lit(1e-15)))).alias("loss"),
+            F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
+        )
+        history, found = model.summary.objectiveHistory, scored.first()
+        rows.append((epoch, float(history[-1]), found["loss"], found["accuracy"]))
+    return train.sparkSession.createDataFrame(
+        rows, "epoch int, loss double, valid_loss double, valid_accuracy double"
+    )
+
+
 def coefficients(model: OneVsRestModel, terms: DataFrame) -> DataFrame:
     """(cls, term, coef) of every class model and vocabulary term."""
     stacked = np.stack([m.coefficients.toArray() for m in model.models], axis=1)
