@@ -12,8 +12,8 @@ declares counts for as much as its texts bear out. An evidence that is missing
 (null or empty) says nothing.
 
 The trigram model is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``
-in the mean, picked by a hash of the text); everything else covers all rows and
-whole texts. The class ``und`` has flat trigrams: texts in none of the languages
+in the mean, picked by a hash of the text) with the ``LANGUAGES`` most frequent
+labels; everything else covers all rows and whole texts. The class ``und`` has flat trigrams: texts in none of the languages
 of the sample end up there.
 
 Defined cases: a text that is null, empty or without a trigram has no likelihood
@@ -39,6 +39,8 @@ from quire.session import materialise
 
 #: Rows the trigram model is fitted on, in the mean.
 TRAIN_ROWS = 20_000
+#: Languages of the model: the most frequent labels.
+LANGUAGES = 200
 SLOTS = 1 << 16
 UNKNOWN = "und"
 #: Trigrams overlap and long texts repeat themselves: this many count in full at most.
@@ -70,6 +72,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") ->
     if not total:
         return [], np.zeros((SLOTS, 0))
     share = min(1.0, TRAIN_ROWS / total)
+    usual = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES)
+    rows = rows.join(F.broadcast(usual.select("label")), "label", "left_semi")
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
