@@ -46,9 +46,8 @@ from quire.llm.graph import components
 from quire.session import materialise
 
 PERMUTATIONS, BAND = 64, 4
-#: Permutations of the longer sketch; sets of a bucket that are paired without it;
-#: nodes that a task compares with each other.
-SKETCH, SMALL_BUCKET, PART = 512, 32, 4096
+#: Sets of a bucket that are simply paired; sets that one task compares with each other.
+SMALL_BUCKET, PART = 32, 2048
 _CAPITALS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _AT_ONCE = 4096
 
@@ -84,11 +83,6 @@ def estimate(one: np.ndarray, other: np.ndarray) -> float:
     return float(np.mean(one == other))
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """A byte of each value of a longer signature."""
-    return (blocks.scramble(signature(hashes, SKETCH)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
-
-
 def bands(values: np.ndarray) -> np.ndarray:
     """One 64-bit key per band; equal values in different bands get different keys."""
     rows = values.reshape(-1, BAND)
@@ -160,51 +154,68 @@ def _similar_size(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _close_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different groups inside each bucket (key, c, node, n, root)
-    whose sketches don't rule the similarity out."""
-    share = percent / 100
-    least = share - 6 * (share * (1 - share) / (2 * SKETCH)) ** 0.5
+class _Index:
+    """Which rows of a table of sets hold which hash."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([x.size for x in sets])
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(token, kind="stable")
+        self.holders = owner[order]
+        self.upto = np.concatenate(([0], np.cumsum(np.bincount(token))))
+        self.tokens = np.split(token, np.cumsum(self.sizes)[:-1])
+
+    def shared(self, i: int) -> np.ndarray:
+        """How many hashes every row has in common with row i."""
+        own = self.tokens[i]
+        first, count = self.upto[own], self.upto[own + 1] - self.upto[own]
+        skip = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count)
+        return np.bincount(self.holders[np.arange(count.sum()) + skip], minlength=self.sizes.size)
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _joining_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Similar pairs (a, b), a < b, that join groups inside each bucket (key, c, node, root)."""
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drawn = [sketch(x.values.to_numpy().view(np.uint64)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(drawn, pa.binary())], names=["node", "sketch"]
-            )
+            short = [
+                np.unique(x.values.to_numpy().view(np.uint64).astype(np.uint32)).tobytes() for x in batch.column(1)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["node", "short"])
 
     wanted = buckets.select("node").distinct()
-    sketches = sets.join(wanted, "node", "left_semi").mapInArrow(draw, "node long, sketch binary")
+    shorter = sets.join(wanted, "node", "left_semi").mapInArrow(shorten, "node long, short binary")
     parts = F.ceil(F.col("c") / PART).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), parts - 1))
     rows = (
-        buckets.join(sketches, "node")
-        .select("key", "node", "n", "root", "sketch", part.alias("part"), other.alias("other"))
+        buckets.join(shorter, "node")
+        .select("key", "node", "root", "short", part.alias("part"), other.alias("other"))
         .withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
         .drop("other")
     )
 
     def compare(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("node").reset_index(drop=True)
-        node, root, n, part = (df[c].to_numpy() for c in ("node", "root", "n", "part"))
-        drawn = np.frombuffer(b"".join(df["sketch"]), np.uint8).reshape(len(df), -1)
-        groups_here, sizes = np.unique(root, return_counts=True)
-        minor = root != groups_here[sizes.argmax()]  # two of the largest group need no look
+        node, part = df["node"].to_numpy(), df["part"].to_numpy()
+        _, group = np.unique(df["root"].to_numpy(), return_inverse=True)
+        index = _Index([np.frombuffer(x, np.uint32) for x in df["short"]])
+        largest = np.bincount(group).argmax()
         a, b = [], []
-        for i in np.flatnonzero(minor):
-            fits = root != root[i]
+        # Two of the largest group need no look, so only rows of others are counted out.
+        for i in np.flatnonzero(group != largest):
+            both = index.shared(i)
+            fits = (100 * both >= percent * (index.sizes[i] + index.sizes - both)) & (group != group[i])
             if df["low"][0] != df["high"][0]:
                 fits &= part != part[i]
-            fits &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-            fits[: i + 1] &= ~minor[: i + 1]  # pairs of two others come up once
-            at = np.flatnonzero(fits)
-            equal = (drawn[at] == drawn[i]).mean(axis=1)
-            at = at[(equal - 1 / 256) / (1 - 1 / 256) >= least]
-            a.append(np.minimum(node[i], node[at]))
-            b.append(np.maximum(node[i], node[at]))
-        none = [np.empty(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+            while fits.any():
+                j = int(fits.argmax())
+                a.append(min(node[i], node[j]))
+                b.append(max(node[i], node[j]))
+                group[group == group[j]] = group[i]
+                fits &= group != group[i]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return rows.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long")
 
@@ -281,7 +292,7 @@ def groups(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
         .select("a", "b")
     )
     rest = (
-        pairs.unionByName(_close_pairs(left.where(F.col("c") > SMALL_BUCKET), sets, percent))
+        pairs.unionByName(_joining_pairs(left.where(F.col("c") > SMALL_BUCKET), sets, percent))
         .distinct()
         .join(stars.select("a", "b"), ["a", "b"], "left_anti")
         .join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
