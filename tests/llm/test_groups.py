@@ -66,8 +66,8 @@ def test_groups_against_brute_force(docs_of, odd, size):
 
 
 @pytest.mark.parametrize("small,part", [(2, 4096), (0, 20)])
-def test_large_buckets_by_sketches(docs_of, small, part, monkeypatch):
-    """All buckets, or those of three and more, through the sketches; and cut into parts."""
+def test_large_buckets_by_index(docs_of, small, part, monkeypatch):
+    """All buckets, or those of three and more, through the index; and cut into parts."""
     monkeypatch.setattr(minmax, "SMALL_BUCKET", small)
     monkeypatch.setattr(minmax, "PART", part)
     rows = edited(9, 220, 14)
