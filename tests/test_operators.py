@@ -48,6 +48,30 @@ def test_sample_has_exactly_n_rows(spark):
     assert ordering.sample_n(spark.range(30), 40, 1).count() == 30
 
 
+def test_null_and_repeated_ids(spark):
+    half = spark.range(20).select(F.when(F.col("id") < 10, F.col("id")).alias("id"))
+    assert ordering.sample_n(half, 5, 1).count() == 5
+    flags = ordering.split_flag(half, test=0.2)
+    assert flags.where("is_test").count() == 2 and flags.where("id IS NULL AND is_test").count() == 0
+    twice = spark.createDataFrame([(1,), (1,), (1,), (2,), (None,)], "id long")
+    assert [ordering.first_n(twice, n).count() for n in (2, 3, 4, 9)] == [2, 3, 4, 4]
+    assert ordering.first_n(twice.limit(0), 3).count() == 0
+
+
+def test_borders_are_searched_by_halving(spark):
+    borders = list(range(0, 2000, 2))
+    df = spark.range(-3, 2005).withColumn("b", F.lit(borders))
+    got = df.select("id", ordering.bucket_of("id", "b", len(borders)).alias("n")).collect()
+    assert all(r.n == sum(x <= r.id for x in range(0, min(r.id, 1998) + 1, 2)) for r in got)
+
+
+def test_any_number_of_classes(spark):
+    df = spark.range(20_000).select("id", F.format_string("c%05d", "id").alias("c"))
+    assert joins.label_index(df, "c", df).where("label_idx <> id").count() == 0
+    pairs = df.select(F.col("id").alias("label"), (F.col("id") * 0).alias("prediction"))
+    assert evaluate.confusion_cells(pairs).count() == 20_000
+
+
 @pytest.mark.parametrize("kind", ["bigint", "string"])
 def test_dense_position(spark, kind):
     df = spark.range(0, 3000, 3).select(F.col("id").cast(kind).alias("id"))
