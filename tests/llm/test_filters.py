@@ -157,6 +157,33 @@ def test_language_without_labels_or_rows(spark):
     assert language.identify(docs.limit(0), model, host=F.col("lang")).count() == 0
 
 
+def own_words(label, k):
+    """A text of words that only one label has."""
+    return " ".join(f"{label}{chr(97 + (k + j) % 26)}{label}" for j in range(20))
+
+
+def test_a_rare_language_of_a_large_table_is_a_class(spark, monkeypatch):
+    monkeypatch.setattr(language, "TRAIN_ROWS", 60)
+    monkeypatch.setattr(language, "LABEL_ROWS", 10, raising=False)
+    rows = [(k, f"{own_words('abc', k)} {k}", "aa") for k in range(3000)]
+    rows += [(5000 + k, f"{own_words('xyz', k)} {k}", "rare") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.fit(docs)
+    assert model[0] == ["aa", "rare"]
+    got = language.identify(docs, model, declared=F.col("lang")).collect()
+    assert all(r.accepted and r.language == ("rare" if r.doc_id >= 5000 else "aa") for r in got)
+
+
+def test_more_than_two_hundred_languages(spark):
+    names = [f"{a}{b}" for a in "abcdefghijklmno" for b in "pqrstuvwxyzabcd"]
+    rows = [(10 * i + k, own_words(name + "q" + name[::-1], k), name) for i, name in enumerate(names) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model[0] == sorted(names) and len(names) == 225
+    got = language.identify(docs, model, declared=F.col("lang"), host=F.col("lang")).collect()
+    assert all(r.accepted and r.language == names[r.doc_id // 10] for r in got) and len(got) == len(rows)
+
+
 def test_address_and_markup(spark):
     row = spark.createDataFrame(
         [("https://u@Blog.Example.co.uk:80/x?y=http://z.org", '<html class="a" LANG=\'de-AT\'><script>x<y</script><p>Hi&amp;<!-- no --></p>')],
