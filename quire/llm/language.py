@@ -11,10 +11,10 @@ All these tables are sums of the text's own posteriors over groups of all rows
 declares counts for as much as its texts bear out. An evidence that is missing
 (null or empty) says nothing.
 
-Every label is a class. The trigram model is fitted on a sample of labelled rows,
-picked by a hash of the text at a rate of each label's own: the labels share
-``TRAIN_ROWS`` equally, none has less than ``LABEL_ROWS`` in the mean, and labels
-with no more rows than that are taken whole. It is kept as (label, slot) pairs that
+Every label is a class. The trigram model is fitted on a sample of the distinct
+texts of each label, picked by their hash at a rate of the label's own: the labels
+share ``TRAIN_ROWS`` equally, none has less than ``LABEL_ROWS`` in the mean, and labels
+with no more texts than that are taken whole. Copies of a text count once. It is kept as (label, slot) pairs that
 occur. Everything else covers all rows and whole texts. The class ``und`` has flat
 trigrams: texts in none of the languages end up there.
 
@@ -42,8 +42,8 @@ from pyspark.sql import types as T
 from quire.llm.common import text_hash, without
 from quire.session import materialise
 
-#: Rows the trigram model is fitted on, shared by the labels, and the least of each
-#: label, both in the mean.
+#: Distinct texts the trigram model is fitted on, shared by the labels, and the least of
+#: each label, both in the mean.
 TRAIN_ROWS, LABEL_ROWS = 20_000, 100
 SLOTS = 1 << 16
 UNKNOWN = "und"
@@ -98,7 +98,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") ->
     rows = labelled.select(
         F.lower(F.col(label_col).cast("string")).alias("label"), F.col(text_col).cast("string").alias("text")
     ).where("label IS NOT NULL AND octet_length(text) >= 3 AND label <> ''")
-    counted = rows.groupBy("label").agg(F.count("*").alias("n")).toArrow()
+    rows = rows.withColumn("print", F.xxhash64("text"))
+    counted = rows.select("label", "print").distinct().groupBy("label").agg(F.count("*").alias("n")).toArrow()
     names = counted["label"].to_pylist()
     wanted = max(LABEL_ROWS, TRAIN_ROWS / max(1, len(names)))
     # Hashes from the smallest up to this one are in the sample.
@@ -109,7 +110,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") ->
     )
     sample = (
         rows.join(F.broadcast(rates), "label")
-        .where(F.xxhash64("text").cast("double") <= F.col("upto"))
+        .where(F.col("print").cast("double") <= F.col("upto"))
+        .select("number", "print", "text")
+        .dropDuplicates(["number", "print"])
         .select("number", "text")
     )
 

@@ -174,6 +174,18 @@ def test_a_rare_language_of_a_large_table_is_a_class(spark, monkeypatch):
     assert all(r.accepted and r.language == ("rare" if r.doc_id >= 5000 else "aa") for r in got)
 
 
+def test_copies_of_a_text_count_once(spark, monkeypatch):
+    monkeypatch.setattr(language, "TRAIN_ROWS", 40)
+    monkeypatch.setattr(language, "LABEL_ROWS", 10, raising=False)
+    rows = [(k, f"{own_words('abc', k)} {k}", "aa") for k in range(200)]
+    copies = [(1000 + k, text, "aa") for _, text, _ in rows[:100] for k in range(5)]
+    one, more = (
+        language.fit(spark.createDataFrame(x, "doc_id long, text string, lang string").repartition(3))
+        for x in (rows, rows + copies)
+    )
+    assert one[0] == more[0] and all((a == b).all() for a, b in zip(one[1], more[1], strict=True))
+
+
 def test_more_than_two_hundred_languages(spark):
     names = [f"{a}{b}" for a in "abcdefghijklmno" for b in "pqrstuvwxyzabcd"]
     rows = [(10 * i + k, own_words(name + "q" + name[::-1], k), name) for i, name in enumerate(names) for k in range(2)]
