@@ -12,7 +12,8 @@ before the join); beyond that the hashes of all windows are joined by a shuffle.
 Defined cases: a null text has no words (and so is kept, n_words 0); a null id is
 an id like any other; rows that repeat both id and text are one document in
 ``hits`` and in the report, rows sharing only the id give one row each; null or
-empty items have no window; without items nothing is hit; an empty table gives an
+empty texts of items have no window; an item without an id hits like any other but is
+not among the items found; without items nothing is hit; an empty table gives an
 empty one; other columns are not read, and ``clean`` keeps them as they are.
 """
 
@@ -59,7 +60,7 @@ def windows_of_items(items: DataFrame, id_col: str = "item_id", text_col: str =
             F.col(id_col).cast("string").alias("item"),
             normal_words(F.col(text_col).cast("string")).alias("w"),
         )
-        .where((F.size("w") > 0) & F.col("item").isNotNull())
+        .where(F.size("w") > 0)
         .withColumn("size", F.least(F.size("w"), F.lit(WINDOW)))
         .select(
             "item",
@@ -125,6 +126,7 @@ def hits(
     side = wanted.select("hash", F.col("size").alias("len"), "window", "item_list")
     equal = F.slice("w", F.col("at") + 1, F.col("len")) == F.col("window")
     columns = ["id", "print", "n", "len", "at"]
+    # The list of a window is never null, but empty if no item with it has an id.
     if small:
         kept = (
             places.join(F.broadcast(side), ["hash", "len"], "left")

@@ -67,6 +67,18 @@ def test_windows_hits_and_items(spark, docs_of, odd, broadcast, monkeypatch):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == stay
 
 
+@pytest.mark.parametrize("broadcast", [0, decontaminate.BROADCAST_WINDOWS])
+def test_items_without_an_id_hit(spark, docs_of, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    items = spark.createDataFrame([(None, LONG), (None, "short item"), (7, "short item")], "item_id long, text string")
+    rows = [(1, LONG), (2, "a short item"), (3, "clean")]
+    got = {r.doc_id: r for r in decontaminate.report(docs_of(rows), items).collect()}
+    assert {i: (r.n_hit, list(r.found_items), r.contaminated) for i, r in got.items()} == {
+        1: (14, [], True), 2: (2, ["7"], True), 3: (0, [], False)
+    }
+    assert [r.doc_id for r in decontaminate.clean(docs_of(rows), items).collect()] == [3]
+
+
 def test_no_items_and_no_documents(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontaminate.report(docs_of([(1, LONG)]), none).collect()] == [False]
