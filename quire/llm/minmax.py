@@ -15,10 +15,9 @@ pairs of a band bucket have to be looked at:
    centres where both sides are not linked yet.
 3. In buckets that still hold several groups, pairs across groups are candidates
    that were none before; only these can link anything new. Small buckets give
-   all such pairs. In large ones a longer min-max sketch (1,024 values of a byte)
-   of each node is compared inside the task, and only pairs within six standard
-   errors of the threshold leave it; very large ones are cut into parts that meet
-   two by two.
+   all such pairs. In large ones the full sets (all 64 bits of the hashes) are counted
+   against each other inside the task, and only similar pairs that join groups leave
+   it; very large ones are cut into parts that meet two by two.
 
 Defined cases: a null or wordless text has no shingle, is linked with nothing and
 its own group; with fewer words than a shingle the whole text is one; a null id is
@@ -177,21 +176,19 @@ class _Index:
 def _joining_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Similar pairs (a, b), a < b, that join groups inside each bucket (key, c, node, root)."""
 
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short = [
-                np.unique(x.values.to_numpy().view(np.uint64).astype(np.uint32)).tobytes() for x in batch.column(1)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["node", "short"])
+            packed = [x.values.to_numpy().tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "packed"])
 
     wanted = buckets.select("node").distinct()
-    shorter = sets.join(wanted, "node", "left_semi").mapInArrow(shorten, "node long, short binary")
+    whole = sets.join(wanted, "node", "left_semi").mapInArrow(pack, "node long, packed binary")
     parts = F.ceil(F.col("c") / PART).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), parts - 1))
     rows = (
-        buckets.join(shorter, "node")
-        .select("key", "node", "root", "short", part.alias("part"), other.alias("other"))
+        buckets.join(whole, "node")
+        .select("key", "node", "root", "packed", part.alias("part"), other.alias("other"))
         .withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
         .drop("other")
     )
@@ -200,7 +197,7 @@ def _joining_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFra
         df = df.sort_values("node").reset_index(drop=True)
         node, part = df["node"].to_numpy(), df["part"].to_numpy()
         _, group = np.unique(df["root"].to_numpy(), return_inverse=True)
-        index = _Index([np.frombuffer(x, np.uint32) for x in df["short"]])
+        index = _Index([np.frombuffer(x, np.int64) for x in df["packed"]])
         largest = np.bincount(group).argmax()
         a, b = [], []
         # Two of the largest group need no look, so only rows of others are counted out.

@@ -75,6 +75,19 @@ def test_large_buckets_by_index(docs_of, small, part, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute(rows, 2))
 
 
+def test_large_buckets_compare_whole_hashes(spark):
+    """80 of 100 hashes in common, two of which differ only in their upper half."""
+    shared = [5, 5 + (1 << 40), *range(1000, 1078)]
+    sets = [(1, shared + list(range(2000, 2010))), (2, shared + list(range(3000, 3010)))]
+    buckets = [(9, 40, 1, 1), (9, 40, 2, 2)]
+    got = minmax._joining_pairs(
+        spark.createDataFrame(buckets, "key long, c long, node long, root long"),
+        spark.createDataFrame(sets, "node long, own array<long>"),
+        80,
+    )
+    assert [tuple(r) for r in got.collect()] == [(1, 2)]
+
+
 def test_whole_table_against_brute_force(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
