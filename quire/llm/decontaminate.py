@@ -3,8 +3,8 @@
 The windows of the test items (13 words; an item of fewer words is one window)
 form a hash set that is broadcast. Every token window of the training texts is
 looked up in it by a 64-bit hash, each hit is verified word by word, and the
-words inside verified windows are counted, cut out or lead to the document's
-removal. Built-in functions only; texts are never shuffled, only hits are.
+words inside verified windows are counted, and lead to the whole document's removal
+where they are enough; no spans are cut out of texts. Built-in functions only; texts are never shuffled, only hits are.
 
 The set is broadcast while it has at most ``BROADCAST_WINDOWS`` rows (counted
 before the join); beyond that the hashes of all windows are joined by a shuffle.
