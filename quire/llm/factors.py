@@ -1,13 +1,11 @@
 """Substring dedup by factoring documents against a reference of earlier documents.
 
-Relative Lempel-Ziv parsing, spread over tasks. Every document is cut into
-content-defined blocks (``blocks``), and all blocks of all documents are indexed
-by anchor, with the smallest id that has them: the reference. A document is then
-read greedily block by block: a block that an earlier document has too becomes
-part of a factor, and neighbouring matches join into one factor, which is a
-stretch of at least one window of ``length`` words. Where a factor ends inside a
-block, that block differs from the reference's block of the same anchor; its
-windows are compared one by one there, which settles the factor's border exactly.
+This replaces a relative Lempel-Ziv parse: no document is read left to right and no
+longest match is extended, since that would need the whole reference at hand in
+every task. Every document is cut into content-defined blocks (``blocks``). Equal
+blocks are joined by their digest; where blocks of one anchor differ, every window
+of all blocks of that anchor is joined by its hash. A factor is just a stretch of
+words that such windows cover, without a source.
 
 Words inside a window that also starts in a document with a smaller id are
 removed; windows are judged on the input. Blocks of equal content are worked on
