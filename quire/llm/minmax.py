@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import blocks
 from quire.llm.blocks import KEY
-from quire.llm.common import without
+from quire.llm.common import SPACES, text_hash, without
 from quire.llm.graph import components
 from quire.session import materialise
 
@@ -332,9 +332,21 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """The documents, all columns, one of each group (the one with the smallest id);
-    texts without words all stay. Rows that repeat id and text of the document that
-    stays are the same document and stay too.
+    texts without words all stay. Of rows that repeat id and text of the document that
+    stays, the one whose columns come first as JSON stays.
     """
     found = near_duplicates(docs, id_col, text_col, size)
     gone = materialise(found.where("NOT stands").select(F.col(id_col).alias("id"), "print").distinct(), "gone")
-    return without(docs, gone, id_col, text_col)
+    kept = without(docs, gone, id_col, text_col)
+    key = [F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("print")]
+    worded = docs.where(F.length(F.btrim(F.col(text_col).cast("string"), F.lit(SPACES))) > 0)
+    again = worded.select(*key).groupBy("id", "print").agg(F.count("*").alias("c")).where("c > 1")
+    again = materialise(again.select("id", "print"), "repeated")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = (
+        without(kept, again, id_col, text_col, "left_semi")
+        .groupBy(*key)
+        .agg(F.min_by(row, F.to_json(row)).alias("row"))
+        .select("row.*")
+    )
+    return without(kept, again, id_col, text_col).unionByName(first)

@@ -103,6 +103,14 @@ def test_one_of_each_group_stays(docs_of):
     assert minmax.keep_one(docs_of(rows).limit(0)).count() == 0
 
 
+def test_repeated_rows_of_the_one_that_stays_go(docs_of):
+    text = "a b c d e f"
+    rows = [(1, text), (1, text), (1, text), (2, text), (4, None), (4, None), (None, "x y z"), (None, "x y z")]
+    kept = minmax.keep_one(docs_of(rows)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "x y z"), (1, text), (4, ""), (4, "")]
+    assert [r.source for r in kept if r.doc_id == 1] == ["s0"]
+
+
 def test_min_max_estimates_without_bias_and_finds_similar_pairs():
     rng = np.random.default_rng(4)
     guesses, missed = [], 0
