@@ -15,11 +15,13 @@ from quire.llm import (
     factors,
     language,
     lines,
+    merkle,
     minmax,
     quality,
     suffixes,
     token_counts,
     transcripts,
+    trie,
 )
 from quire.llm.common import read
 
@@ -209,3 +211,105 @@ def op7_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = transcripts.with_markers(read(spark, sf_dir, "conversations"))
     found = transcripts.parse(transcripts.lines_of(turns), transcripts.fit(turns))
     return found.select("conv_id", "turn", "role", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII text."""
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+rebuilt AS (
+  SELECT i.conv_id, r, role, text FROM ids i JOIN t ON t.conv_id = i.base AND r < h
+  UNION ALL SELECT i.conv_id, r, role, text FROM ids i JOIN t USING (conv_id) WHERE r >= h),
+named AS (SELECT conv_id, row_number() OVER w AS depth, text,
+    md5(string_agg(md5(role) || md5(text), '') OVER (w ROWS UNBOUNDED PRECEDING)) AS node FROM rebuilt
+  WINDOW w AS (PARTITION BY conv_id ORDER BY r)),
+steps AS (
+  SELECT conv_id, 0 AS depth, '' AS text, '' AS node, NULL AS parent FROM ids
+  UNION ALL SELECT conv_id, depth, text, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), '') FROM named),
+nodes AS (SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+    any_value(length(text)) AS chars FROM steps GROUP BY depth, node),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (  -- every node with each of the nodes of its subtree
+  SELECT s.depth, s.node, count(*) FILTER (k.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved
+  FROM nodes n JOIN steps s ON s.conv_id = n.conv_id AND s.depth <= n.depth LEFT JOIN kids k ON k.node = n.node GROUP BY 1, 2),
+ends AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS list
+  FROM (SELECT conv_id, arg_max(node, depth) AS node FROM steps GROUP BY 1) GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+  coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved::BIGINT AS saved_tokens,
+  sha256(coalesce(list, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN kids k ON k.node = n.node
+JOIN below b ON b.node = n.node LEFT JOIN ends e ON e.node = n.node"""
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shared beginning of the rebuilt conversations, and what lies below it."""
+    turns = trie.numbered(read(spark, sf_dir, "conversations"))
+    nodes = trie.prefix_trie(trie.with_common_heads(turns), turns.where("r = 0").select("conv"))
+    return nodes.drop("enter", "exit")
+
+
+_FIELD = "coalesce(strlen({0})::VARCHAR || ':' || {0}, '-')"
+_RECORD = " || ".join(
+    _FIELD.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "({0})::VARCHAR", "text")
+)
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS g,
+    sha256({_RECORD.format("n_chars")}) AS leaf,
+    sha256({_RECORD.format(f"n_chars + ({_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0)::BIGINT")}) AS claim FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY g) AS n FROM d),
+tree AS (SELECT g, 0 AS lvl, i, leaf AS h, n FROM leaves
+  UNION ALL SELECT g, lvl + 1, i // 2, sha256(h || coalesce(other, '')), (n + 1) // 2
+  FROM (SELECT *, lead(h) OVER (PARTITION BY g, lvl ORDER BY i) AS other FROM tree WHERE n > 1) WHERE i % 2 = 0),
+subroots AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS lvl, i, h, n FROM subroots
+  UNION ALL SELECT lvl + 1, i // 2, sha256(h || coalesce(other, '')), (n + 1) // 2
+  FROM (SELECT *, lead(h) OVER (PARTITION BY lvl ORDER BY i) AS other FROM top WHERE n > 1) WHERE i % 2 = 0),
+steps AS (
+  SELECT l.doc_id, l.leaf, l.g, l.i, t.lvl, t.i % 2 AS slot, o.h AS other
+  FROM leaves l JOIN tree t ON t.g = l.g AND t.i = l.i >> t.lvl AND t.n > 1
+  LEFT JOIN tree o ON o.g = l.g AND o.lvl = t.lvl AND o.i = xor(t.i, 1)
+  UNION ALL
+  SELECT l.doc_id, l.leaf, l.g, l.i, 1000 + t.lvl, t.i % 2, o.h
+  FROM leaves l JOIN subroots s USING (g) JOIN top t ON t.i = s.i >> t.lvl AND t.n > 1
+  LEFT JOIN top o ON o.lvl = t.lvl AND o.i = xor(t.i, 1)),
+paths AS (SELECT g, i, list(struct_pack(slot := slot, other := coalesce(other, '')) ORDER BY lvl) AS path FROM steps GROUP BY 1, 2),
+fold AS (
+  SELECT l.g, l.i, 1 AS k, claim AS f, coalesce(path, []) AS path FROM leaves l LEFT JOIN paths p ON p.g = l.g AND p.i = l.i
+  UNION ALL SELECT g, i, k + 1, CASE WHEN path[k].slot = 0 THEN sha256(f || path[k].other) ELSE sha256(path[k].other || f) END, path
+  FROM fold WHERE k <= len(path))
+SELECT l.doc_id, l.leaf, s.h AS subroot, t.h AS root,
+  sha256(coalesce(array_to_string(list_transform(path, lambda x: x.other), ''), '')) AS proof_sha256,
+  f AS folded_root, f = t.h AS verified
+FROM leaves l JOIN fold ON fold.g = l.g AND fold.i = l.i AND k = len(path) + 1
+JOIN subroots s ON s.g = l.g JOIN top t ON t.n = 1"""
+)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest, roots and proof of every document, and whether a copy with another number
+    of characters in one of seven documents is still proved to be in the dataset."""
+    docs = read(spark, sf_dir, "documents")
+
+    def leaf(n_chars):
+        return merkle.record(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claim = F.when(tampered, leaf(F.col("n_chars").cast("decimal(20,0)") + 1))
+    found = merkle.manifest(docs.withColumns({"leaf": leaf(F.col("n_chars")), "claim": claim}))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof(F.col("path")).alias("proof_sha256"),
+        merkle.folded(F.col("path"), F.col("claim")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))

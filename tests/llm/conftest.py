@@ -35,3 +35,12 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd():
     return ODD
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Shuffles keep all their partitions, however small."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
