@@ -13,6 +13,7 @@ from quire.llm import (
     bpe,
     decontaminate,
     factors,
+    katz,
     language,
     lines,
     merkle,
@@ -313,3 +314,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.proof(F.col("path")).alias("proof_sha256"),
         merkle.folded(F.col("path"), F.col("claim")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query()
+def op13_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document by a model of six sevenths of them."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return katz.score(read(spark, sf_dir, "documents"), ~held_out)
