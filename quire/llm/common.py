@@ -45,13 +45,21 @@ def own_prefix(docs: DataFrame) -> str:
     return prefix
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, how: str = "left_anti") -> DataFrame:
+def without(
+    docs: DataFrame,
+    gone: DataFrame,
+    id_col: str,
+    text_col: str,
+    how: str = "left_anti",
+    mark: Column | None = None,
+) -> DataFrame:
     """The rows of ``docs`` whose (id, text hash) is not in the written table ``gone``
     with the columns ``id`` and ``print`` (or is, with ``left_semi``); null-safe, all
-    columns kept."""
+    columns kept. ``mark`` replaces the text hash where more than the text tells rows apart."""
     p = own_prefix(docs)
     named = gone.select(F.col("id").alias(f"{p}id"), F.col("print").alias(f"{p}print"))
     if named.count() <= SENT_KEYS:
         named = F.broadcast(named)
-    same = (text_hash(docs[text_col]) == F.col(f"{p}print")) & docs[id_col].eqNullSafe(F.col(f"{p}id"))
+    own = text_hash(docs[text_col]) if mark is None else mark
+    same = (own == F.col(f"{p}print")) & docs[id_col].eqNullSafe(F.col(f"{p}id"))
     return docs.join(named, same, how)

@@ -28,7 +28,7 @@ kept by ``accepted``.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -267,6 +267,21 @@ def _fused(rows: DataFrame, classes: list[str], world: np.ndarray) -> DataFrame:
     return rows.select("id", "print", "ll", *[f"n_{k}" for k in kinds]).mapInArrow(fuse, schema)
 
 
+def _clean(c: Column | None) -> Column:
+    """An evidence in lower case; null where there is none."""
+    if c is None:
+        return F.lit(None).cast("string")
+    c = F.lower(F.trim(c.cast("string")))
+    return F.when(c != "", c)
+
+
+def _mark(text: Column, evidence: Iterable[Column]) -> Column:
+    """Hash of all that a verdict rests on: rows of one id with other text or other
+    evidence have verdicts of their own."""
+    told = [F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in evidence]
+    return F.xxhash64(text_hash(text), *told)
+
+
 def identify(
     docs: DataFrame,
     model: tuple[list[str], Trigrams],
@@ -277,27 +292,21 @@ def identify(
     host: Column | None = None,
     domain: Column | None = None,
 ) -> DataFrame:
-    """Per row: id, text hash, language, posterior, and whether it is accepted.
+    """Per row: id, hash of text and evidence (print), language, confidence (its posterior), and
+    whether it is accepted.
 
     The evidence is given as columns over ``docs``; what is left out is missing.
     """
     labels, trigrams = model
     classes = [*labels, UNKNOWN]
     size = len(classes)
-
-    def clean(c: Column | None) -> Column:
-        if c is None:
-            return F.lit(None).cast("string")
-        c = F.lower(F.trim(c.cast("string")))
-        return F.when(c != "", c)
-
+    evidence = {
+        k: _clean(c) for k, c in (("declared", declared), ("suffix", suffix), ("host", host), ("domain", domain))
+    }
     rows = docs.select(
         F.col(id_col).alias("id"),
-        text_hash(F.col(text_col)).alias("print"),
-        clean(declared).alias("declared"),
-        clean(suffix).alias("suffix"),
-        clean(host).alias("host"),
-        clean(domain).alias("domain"),
+        _mark(F.col(text_col), evidence.values()).alias("print"),
+        *[c.alias(k) for k, c in evidence.items()],
         F.col(text_col).cast("string").alias("text"),
     )
     # Everything after this works on narrow rows.
@@ -316,13 +325,23 @@ def identify(
     )
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **evidence) -> DataFrame:
-    """The documents, all columns, whose language is known well enough."""
-    found = identify(docs, id_col=id_col, text_col=text_col, **evidence)
+def accepted(
+    docs: DataFrame,
+    model: tuple[list[str], Trigrams],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    declared: Column | None = None,
+    suffix: Column | None = None,
+    host: Column | None = None,
+    domain: Column | None = None,
+) -> DataFrame:
+    """The documents, all columns, whose language is known well enough, row by row."""
+    found = identify(docs, model, id_col, text_col, declared, suffix, host, domain)
     gone = materialise(
         found.where("NOT accepted").select(F.col(id_col).alias("id"), "print").distinct(), "no-language"
     )
-    return without(docs, gone, id_col, text_col)
+    mark = _mark(F.col(text_col), [_clean(c) for c in (declared, suffix, host, domain)])
+    return without(docs, gone, id_col, text_col, mark=mark)
 
 
 def address(url: Column) -> dict[str, Column]:
