@@ -84,13 +84,15 @@ def first_n(df: DataFrame, n: int, id_col: str = "id") -> DataFrame:
     """The ``n`` rows with the smallest ids; null ids come last and are never taken.
 
     Only ids take part in the top-n; wide rows are filtered where they are. If
-    the last id is repeated, only as many of its rows are taken as are wanted.
+    the last id is repeated, only as many of its rows are taken as are wanted: those
+    with the smallest hashes of the whole row, so that a rerun takes the same.
     """
     ids = df.where(F.col(id_col).isNotNull()).select(id_col).orderBy(id_col).limit(n)
     last = ids.groupBy(id_col).agg(F.count("*").alias("n")).orderBy(F.desc(id_col)).first()
     if last is None:
         return df.limit(0)
-    at_last = df.where(F.col(id_col) == last[0]).limit(last["n"])
+    whole = F.xxhash64(*[F.to_json(F.struct(f"`{c}`")) for c in df.columns])
+    at_last = df.where(F.col(id_col) == last[0]).orderBy(whole).limit(last["n"])
     return df.where(F.col(id_col) < last[0]).unionByName(at_last)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from quire.constants import SUBJECTS
 from quire.operators.ordering import first_n
 from quire.schemas import RAW_PAPER
+from quire.sources.writers import many_lines
 
 _JSON_MODES = {"fail": "FAILFAST", "drop": "DROPMALFORMED"}
 
@@ -31,10 +32,11 @@ def read_table(
 ) -> DataFrame:
     """Delimited text with a header line; quoted fields may hold doubled quotes.
 
-    A file is read by many tasks. Only if fields hold line breaks set
-    ``multi_line``: then a file is one task, so write many files and convert them
-    to Parquet once. ``index_col`` skips a leading row-number column. ``nrows``
-    keeps the rows with the smallest ids."""
+    A file is read by many tasks, line by line. Line breaks that ``write_table`` wrote as
+    marks are put back. A file with raw line breaks inside quotes fails (some line has an
+    odd number of quotes, which one more scan of the lines finds): set ``multi_line``, with
+    which a file is one task, and convert such files to Parquet once. ``index_col`` skips
+    a leading row-number column. ``nrows`` keeps the rows with the smallest ids."""
     if index_col:
         schema = T.StructType([T.StructField("_c0", T.StringType()), *schema.fields])
     df = (
@@ -46,6 +48,13 @@ def read_table(
         .option("enforceSchema", True)
         .csv(path)
     )
+    if not multi_line:
+        odd = F.length("value") - F.length(F.replace("value", F.lit('"')))
+        broken = spark.read.text(path).agg(F.count_if(odd % 2 == 1)).scalar()
+        message = "quoted fields with line breaks: read with multi_line=True"
+        df = df.where(F.when(broken > 0, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))
+    texts = [f.name for f in schema.fields if f.dataType == T.StringType()]
+    df = df.withColumns({n: many_lines(F.col(f"`{n}`")) for n in texts})
     if index_col:
         df = df.drop("_c0")
     return df if nrows is None else first_n(df, nrows, id_col)

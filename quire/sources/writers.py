@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Stands before a letter in place of what would break a line or be lost in delimited text.
+MARK = "\x1b"
+_LETTERS = {MARK: "s", "\n": "n", "\r": "r"}
+_EMPTY = MARK + "e"
+
+
+def one_line(value: Column) -> Column:
+    """A text without line breaks, from which ``many_lines`` has the text again."""
+    out = value
+    for char, letter in _LETTERS.items():
+        out = F.replace(out, F.lit(char), F.lit(MARK + letter))
+    return F.when(value == "", _EMPTY).otherwise(out)
+
+
+def many_lines(value: Column) -> Column:
+    """The text that ``one_line`` was given; a text without MARK is left as it is."""
+    out = value
+    for char, letter in reversed(_LETTERS.items()):
+        out = F.replace(out, F.lit(MARK + letter), F.lit(char))
+    return F.when(value == _EMPTY, "").otherwise(out)
+
+
 def write_table(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
-    """Delimited text with a header; quotes are doubled and all fields quoted,
-    so that line breaks and empty texts survive a round trip."""
+    """Delimited text with a header, one line per row, so that a file can be read by
+    many tasks: quotes are doubled, all fields quoted, and in texts a line break,
+    carriage return, escape character and the empty text are written as MARK and a
+    letter. ``readers.read_table`` undoes that."""
+    flat = df.select(
+        *[one_line(F.col(f"`{n}`")).alias(n) if kind == "string" else F.col(f"`{n}`") for n, kind in df.dtypes]
+    )
     (
-        df.write.mode(mode)
+        flat.write.mode(mode)
         .option("sep", sep)
         .option("header", True)
         .option("quoteAll", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 

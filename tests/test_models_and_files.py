@@ -127,6 +127,7 @@ def test_text_tables_keep_awkward_values(spark):
 
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "text")])
     values = [("1", 'a "quoted", value'), ("2", "line\nbreak\ttab"), ("3", None), ("4", "back\\slash")]
+    values += [("5", ""), ("6", " spaces "), ("7", "\r\n\n\r"), ("8", "\\nu \x1bn \x1b\n\x1be"), ("9", "\x1be")]
     for sep in ("\t", ","):
         path = scratch_path(spark, "table")
         writers.write_table(spark.createDataFrame(values, schema), path, sep)
@@ -134,6 +135,38 @@ def test_text_tables_keep_awkward_values(spark):
         assert got == values
 
 
+def test_written_tables_are_cut_inside_files(spark):
+    rows = [(str(i), "line\nbreak " * 50) for i in range(2000)]
+    path = scratch_path(spark, "table")
+    writers.write_table(spark.createDataFrame(rows, "id string, text string").coalesce(1), path)
+    schema = spark.createDataFrame(rows[:1], "id string, text string").schema
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        back = readers.read_table(spark, path, schema, ",")
+        assert back.select(F.spark_partition_id()).distinct().count() > 3
+        assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("text", ['"1","line\nbreak, x"\n', '"1","line\n""two"",x"\n', '"1","line\nplain\n"\n'])
+def test_raw_line_breaks_fail_or_need_a_flag(spark, text):
+    path = scratch_path(spark, "raw")
+    whole = spark.createDataFrame([('"id","text"\n' + text + '"2","b"',)], "value string")
+    whole.coalesce(1).write.text(path)
+    schema = spark.createDataFrame([("", "")], "id string, text string").schema
+    with pytest.raises(Exception, match="multi_line"):
+        readers.read_table(spark, path, schema, ",").collect()
+    assert readers.read_table(spark, path, schema, ",", multi_line=True).count() == 2
+
+
+def test_marks_of_foreign_files_are_left_alone(spark):
+    path = scratch_path(spark, "foreign")
+    spark.createDataFrame([("id,text\n1,\\nu and \\rho\n2,plain",)], "value string").coalesce(1).write.text(path)
+    schema = spark.createDataFrame([("", "")], "id string, text string").schema
+    assert sorted(tuple(r) for r in readers.read_table(spark, path, schema, ",").collect()) == [("1", "\\nu and \\rho"), ("2", "plain")]
+
+
 def test_vectors_survive_text_exactly(spark):
     df = spark.createDataFrame([(1, [0.1, -1e-9, 3.0])], "id bigint, vector array<float>")
     path = scratch_path(spark, "vectors")
