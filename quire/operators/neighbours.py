@@ -1,9 +1,16 @@
-"""Exact k-nearest-neighbour join and majority-vote classification.
+"""Exact k-nearest-neighbour join and majority-vote classification, and an
+approximate join by hash tables.
 
-Base vectors are assigned to the nearest of a few pivots. Distances to pivots
-bound every other distance (triangle inequality), so a query visits only cells
-that can hold one of its k neighbours; a visited cell is compared block against
-block in NumPy and only the k best of each block leave the task.
+The exact join covers the base by balls: every base vector belongs to the nearest
+of a few pivots, a ball's radius is the largest distance to its pivot. In the first
+round a query is compared with its own ball, so its k-th distance so far is a true
+bound; in the second it visits only the balls that the bound reaches. In both rounds
+large balls are cut, and in the second small ones are put together, into shelves of
+about ``block_rows`` vectors; queries that visit a shelf are cut into blocks of the
+same size. A shelf and a block of queries are one task, so the copies of a vector are
+at most the shelves (of a query) or the blocks of queries (of a base vector): a square
+grid, the fewest copies that this memory allows where nothing can be pruned. A block
+pair is compared in NumPy and only the k best of each query leave the task.
 """
 
 from __future__ import annotations
@@ -17,16 +24,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.operators.lookup import lookup
 from quire.operators.ordering import top_n_per_group
+from quire.session import materialise
 
 # The helpers below travel to the workers with the tasks that call them, so the
 # package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 16_384
 MAX_PIVOTS = 256
-MIN_PIVOTS = 8
-_CHUNK = 512
+_CHUNK = 256
 _MARGIN = 1e-9
 
 
@@ -42,13 +50,18 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def nearest_in_block(
-    query: np.ndarray, base: np.ndarray, base_ids: np.ndarray, k: int
+    query: np.ndarray,
+    base: np.ndarray,
+    base_ids: np.ndarray,
+    k: int,
+    apart: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, base row, distance) of the k nearest base rows per query.
 
     A matrix product gives squared distances up to rounding. Everything within
     the rounding bound of the k-th is then measured directly, so the result is
-    that of direct measurement, with ties in id order.
+    that of direct measurement, with ties in id order. ``apart`` has a group per query
+    and base row; rows of equal groups are not compared.
     """
     k = min(k, len(base))
     base_sq = np.square(base).sum(axis=1)
@@ -58,10 +71,12 @@ def nearest_in_block(
         part = query[start : start + _CHUNK]
         part_sq = np.square(part).sum(axis=1)
         rough = part_sq[:, None] + base_sq[None, :] - 2.0 * (part @ base.T)
+        if apart is not None:
+            rough[apart[0][start : start + _CHUNK, None] == apart[1][None, :]] = np.inf
         kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
         slack = 8.0 * np.finfo(np.float64).eps * base.shape[1] * (part_sq + base_sq.max())
         for row in range(len(part)):
-            near = np.flatnonzero(rough[row] <= kth[row] + 2.0 * slack[row])
+            near = np.flatnonzero((rough[row] <= kth[row] + 2.0 * slack[row]) & (rough[row] < np.inf))
             exact = np.square(base[near] - part[row]).sum(axis=1)
             best = np.lexsort((rank_of_id[near], exact))[:k]
             found.append((start + row, near[best], np.sqrt(exact[best])))
@@ -69,6 +84,86 @@ def nearest_in_block(
     return rows, np.concatenate([c for _, c, _ in found]), np.concatenate([d for *_, d in found])
 
 
+def _grid_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str | None,
+    schema: T.StructType,
+    k: int,
+    block_rows: int,
+    carry: list[str],
+    apart: bool = False,
+) -> DataFrame:
+    """Compare all ``left`` with all ``right`` rows of equal key (all rows without a key),
+    block against block.
+
+    Both have id and v (and cell, if rows of equal cells are to be left out). The numbers
+    of blocks come from counts by key, which are looked up as a table.
+    """
+
+    def number(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+
+    if key is None:
+        sizes = [max(1, -(-df.count() // block_rows)) for df in (left, right)]
+    else:
+        parts = materialise(number(left, "_left").join(number(right, "_right"), key), "blocks")
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in its own block, once per block of the other side."""
+        if key is None:
+            df = df.withColumns({"_left": F.lit(sizes[0]), "_right": F.lit(sizes[1])})
+        else:
+            df = lookup(df, parts, key, "id")
+        return (
+            df.withColumn("_own", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            .drop("_left", "_right")
+        )
+
+    grid = [*([] if key is None else [key]), "_x", "_y"]
+    query = spread(left, "_left", "_right").withColumnsRenamed({"_own": "_x", "_other": "_y"})
+    block = spread(right, "_right", "_left").withColumnsRenamed({"_own": "_y", "_other": "_x"})
+
+    def compare(query: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if query.empty or block.empty:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        ids = block["id"].to_numpy()
+        cells = (query["cell"].to_numpy(), block["cell"].to_numpy()) if apart else None
+        rows, cols, distance = nearest_in_block(_matrix(query["v"]), _matrix(block["v"]), ids, k, cells)
+        out = {"query_id": query["id"].to_numpy()[rows], "base_id": ids[cols], "distance": distance}
+        return pd.DataFrame(out | {c: block[c].to_numpy()[cols] for c in carry})
+
+    return query.groupBy(*grid).cogroup(block.groupBy(*grid)).applyInPandas(compare, schema)
+
+
+def _best(candidates: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy("distance", "base_id")
+    return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _prepared(
+    queries: DataFrame, base: DataFrame, id_col: str, vector: str, carry: list[str]
+) -> tuple[DataFrame, DataFrame, T.StructType]:
+    """Both sides as written tables (id, v), the base with the carried columns, and the
+    schema of a result."""
+    clash = {"id", "v", "cell", "query_id", "base_id", "distance", "rank"} & set(carry)
+    if clash:
+        raise ValueError(f"rename carried columns {sorted(clash)}")
+    as_double = F.col(vector).cast("array<double>").alias("v")
+    schema = T.StructType(
+        [
+            T.StructField("query_id", queries.schema[id_col].dataType),
+            T.StructField("base_id", base.schema[id_col].dataType),
+            T.StructField("distance", T.DoubleType()),
+            *[T.StructField(c, base.schema[c].dataType) for c in carry],
+        ]
+    )
+    base = materialise(base.select(F.col(id_col).alias("id"), as_double, *carry), "base")
+    queries = materialise(queries.select(F.col(id_col).alias("id"), as_double), "queries")
+    return queries, base, schema
+
+
 def knn_join(
     queries: DataFrame,
     base: DataFrame,
@@ -77,34 +172,24 @@ def knn_join(
     vector: str = "vector",
     block_rows: int = BLOCK_ROWS,
     n_pivots: int | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(query_id, base_id, distance, rank): the k nearest base rows of each
-    query by Euclidean distance, equal distances in order of base id.
+    """(query_id, base_id, distance, rank[, carried columns of the base]): the k nearest
+    base rows of each query by Euclidean distance, equal distances in order of base id.
 
-    Exact for any data. The driver sees only the pivots and per-cell summaries
-    (at most ``MAX_PIVOTS`` rows each). Cells are cut into blocks of about
-    ``block_rows`` on both sides, so a cell with a third of all vectors is many
-    tasks. Runs small jobs for the pivots and the summaries first.
+    Exact for any data. The driver sees only the pivots and a summary of each ball
+    (``MAX_PIVOTS`` rows at most). With a base of one block there is one ball and one
+    round. Runs small jobs for the pivots and the summaries first.
     """
-    spark = queries.sparkSession
-    id_type = base.schema[id_col].dataType
-    query_id_type = queries.schema[id_col].dataType
+    carry = list(carry)
+    queries, base, schema = _prepared(queries, base, id_col, vector, carry)
+    size = base.count()
     if n_pivots is None:
-        blocks = -(-base.count() // block_rows)
-        n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, blocks)))
-    as_double = F.col(vector).cast("array<double>").alias("v")
-    base = base.select(F.col(id_col).alias("id"), as_double)
-    queries = queries.select(F.col(id_col).alias("id"), as_double)
-    picked = base.orderBy(F.xxhash64("id")).limit(n_pivots).collect()
-    result_schema = T.StructType(
-        [
-            T.StructField("query_id", query_id_type),
-            T.StructField("base_id", id_type),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-    if not picked:
-        return spark.createDataFrame([], result_schema).withColumn("rank", F.lit(1))
+        n_pivots = min(MAX_PIVOTS, 4 * -(-size // block_rows)) if size > block_rows else 1
+    if n_pivots <= 1 or size <= k:
+        return _best(_grid_join(queries, base, None, schema, k, block_rows, carry), k)
+
+    picked = base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
     pivots = np.unique(np.array([row.v for row in picked], dtype=np.float64), axis=0)
 
     @F.pandas_udf("struct<cell:int,away:double>")
@@ -113,92 +198,133 @@ def knn_join(
         cell = away.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "away": away[np.arange(len(cell)), cell]})
 
-    placed = base.withColumn("p", nearest_pivot("v")).select("id", "v", "p.cell", "p.away")
-    order = Window.partitionBy("cell").orderBy("away", "id")
-    closest = (
-        placed.select("cell", "away", "id")
-        .withColumn("r", F.row_number().over(order))
-        .where(F.col("r") <= k)
-        .select("cell", "away")
-        .collect()
+    placed = materialise(
+        base.withColumn("p", nearest_pivot("v")).select(*base.columns, "p.cell", "p.away"), "placed"
     )
-    summary = (
-        placed.groupBy("cell")
-        .agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high"))
-        .collect()
-    )
-    n_cells = len(pivots)
-    low, high = np.full(n_cells, np.inf), np.full(n_cells, -np.inf)
-    parts = np.zeros(n_cells, dtype=np.int64)
-    for row in summary:
-        low[row.cell], high[row.cell] = row.low, row.high
-        parts[row.cell] = -(-row.n // block_rows)
-    reach_cell = np.array([row.cell for row in closest])
-    reach_away = np.array([row.away for row in closest])
+    balls = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
+    count = np.zeros(len(pivots), np.int64)
+    radius = np.full(len(pivots), -np.inf)
+    for row in balls:
+        count[row.cell], radius[row.cell] = row.n, row.radius
+    # Only a ball of k vectors gives a bound; without one, queries visit every ball.
+    full = np.flatnonzero(count >= k)
+
+    @F.pandas_udf("int")
+    def own_ball(column: pd.Series) -> pd.Series:
+        away = _pivot_distances(_matrix(column), pivots)
+        return pd.Series(full[away[:, full].argmin(axis=1)].astype("int32"))
+
     between = _pivot_distances(pivots, pivots)
-    k_known = min(k, len(reach_cell))
+    shelf_of, shelves_of = _shelves(count, block_rows)
+    if full.size:
+        homes = materialise(queries.withColumn("cell", own_ball("v")), "homes")
+        first = materialise(
+            _best(_grid_join(homes, placed.drop("away"), "cell", schema, k, block_rows, carry), k), "first-round"
+        )
+        bounds = first.groupBy(F.col("query_id").alias("id")).agg(F.max("distance").alias("bound"))
+        asking = homes.join(bounds, "id")
+    else:
+        first = None
+        asking = queries.withColumns({"cell": F.lit(-1), "bound": F.lit(float("inf"))})
 
     @F.pandas_udf("array<int>")
-    def cells_to_visit(column: pd.Series) -> pd.Series:
+    def shelves_to_visit(column: pd.Series, cell: pd.Series, bound: pd.Series) -> pd.Series:
         away = _pivot_distances(_matrix(column), pivots)
-        # Some k base rows are certainly no farther than this.
-        bound = np.partition(away[:, reach_cell] + reach_away, k_known - 1, axis=1)[:, k_known - 1]
-        own = away.argmin(axis=1)
-        own_away = away[np.arange(len(own)), own]
-        gap = between[own]
+        own, reach = cell.to_numpy(), bound.to_numpy()[:, None]
+        nearest = away.argmin(axis=1)
+        gap = between[nearest]
+        near = away[np.arange(len(away)), nearest][:, None]
         with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.where(gap > 0, (away**2 - own_away[:, None] ** 2) / (2.0 * gap), 0.0)
-        nearest = np.maximum.reduce([away - high, low - away, plane, np.zeros_like(away)])
-        visit = (nearest <= bound[:, None] * (1.0 + _MARGIN) + _MARGIN) & (parts > 0)
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in visit])
-
-    visits = queries.withColumn("cell", F.explode(cells_to_visit("v")))
-    query_counts = visits.groupBy("cell").agg(F.count("*").alias("n")).collect()
-    query_parts = np.zeros(n_cells, dtype=np.int64)
-    for row in query_counts:
-        query_parts[row.cell] = -(-row.n // block_rows)
-    base_parts_of = F.array(*[F.lit(int(n)) for n in parts])
-    query_parts_of = F.array(*[F.lit(int(n)) for n in query_parts])
-
-    def spread(df: DataFrame, own: str, own_parts, other: str, other_parts) -> DataFrame:
-        """Give each row its own block and one copy per block of the other side."""
-        cell = F.col("cell")
-        return (
-            df.where(F.get(own_parts, cell) > 0)
-            .where(F.get(other_parts, cell) > 0)
-            .withColumn(own, F.pmod(F.xxhash64("id"), F.get(own_parts, cell)).cast("int"))
-            .withColumn(
-                other,
-                F.explode(F.sequence(F.lit(0), (F.get(other_parts, cell) - 1).cast("int"))),
-            )
-        )
+            plane = np.where(gap > 0, (away**2 - near**2) / (2.0 * gap), 0.0)
+        low = np.maximum(np.maximum(away - radius, plane), 0.0)
+        visit = (low <= reach * (1.0 + _MARGIN) + _MARGIN) & (count > 0)
+        held = np.flatnonzero(own >= 0)
+        visit[held, own[held]] = False
+        return pd.Series([_visited(row, shelf_of, shelves_of) for row in visit])
 
-    left = spread(visits, "query_part", query_parts_of, "base_part", base_parts_of)
-    right = spread(
-        placed.drop("away"), "base_part", base_parts_of, "query_part", query_parts_of
-    )
-    keys = ["cell", "query_part", "base_part"]
+    on_shelf = F.get(F.array(*[F.lit(int(x)) for x in shelf_of]), F.col("cell")) + F.pmod(
+        F.xxhash64("id"), F.get(F.array(*[F.lit(int(x)) for x in shelves_of]), F.col("cell"))
+    ).cast("int")
+    left = asking.withColumn("shelf", F.explode(shelves_to_visit("v", "cell", "bound"))).drop("bound")
+    right = placed.drop("away").withColumn("shelf", on_shelf)
+    second = _grid_join(materialise(left, "visits"), right, "shelf", schema, k, block_rows, carry, apart=True)
+    return _best(second if first is None else first.drop("rank").unionByName(second), k)
 
-    def compare(query: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if query.empty or block.empty:
-            return pd.DataFrame({"query_id": [], "base_id": [], "distance": []})
-        base_ids = block["id"].to_numpy()
-        rows, cols, distance = nearest_in_block(
-            _matrix(query["v"]), _matrix(block["v"]), base_ids, k
-        )
-        return pd.DataFrame(
-            {
-                "query_id": query["id"].to_numpy()[rows],
-                "base_id": base_ids[cols],
-                "distance": distance,
-            }
+
+def _shelves(count: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shelf, number of shelves) of every ball: large balls have several shelves,
+    small ones share one of at most ``block_rows`` vectors."""
+    first, many = np.zeros(count.size, np.int64), np.ones(count.size, np.int64)
+    now, room = 0, block_rows
+    for ball, n in enumerate(count.tolist()):
+        if n > block_rows:
+            many[ball] = -(-n // block_rows)
+            first[ball], now, room = now + 1, now + 1 + int(many[ball]), block_rows
+        else:
+            if n > room:
+                now, room = now + 1, block_rows
+            first[ball] = now
+            room -= n
+    return first, many
+
+
+def _visited(balls: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The shelves of the marked balls, each once."""
+    hit = np.flatnonzero(balls)
+    starts, sizes = first[hit], many[hit]
+    every = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    return np.unique(every).astype("int32")
+
+
+def knn_approximate(
+    queries: DataFrame,
+    base: DataFrame,
+    width: float,
+    k: int = 5,
+    tables: int = 8,
+    hashes: int = 4,
+    seed: int = 5,
+    id_col: str = "id",
+    vector: str = "vector",
+    block_rows: int = BLOCK_ROWS,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """Like ``knn_join``, but a query is compared only with base rows that share a bucket
+    with it in one of ``tables`` hash tables, by their true distances.
+
+    A bucket is ``hashes`` numbers floor((a v + b) / width) with normal a (2-stable, so
+    near vectors fall together more often than far ones). A query may find fewer than k
+    rows, or others than the nearest: measure the recall on a sample before use. Wider
+    buckets and more tables raise it. Large buckets are cut into blocks on both sides.
+    """
+    carry = list(carry)
+    queries, base, schema = _prepared(queries, base, id_col, vector, carry)
+    opening = base.select("v").first()
+    if opening is None:
+        return _best(base.sparkSession.createDataFrame([], schema), k)
+    draw = np.random.default_rng(seed)
+    slopes = draw.normal(size=(len(opening.v), tables * hashes))
+    shifts = draw.uniform(0, width, size=tables * hashes)
+
+    @F.pandas_udf("array<string>")
+    def buckets(column: pd.Series) -> pd.Series:
+        places = np.floor((_matrix(column) @ slopes + shifts) / width).astype(np.int64)
+        return pd.Series(
+            [[f"{t}:" + ",".join(map(str, row[t * hashes : (t + 1) * hashes])) for t in range(tables)] for row in places]
         )
 
-    candidates = (
-        left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, result_schema)
+    left, right = (
+        materialise(df.withColumn("bucket", F.explode(buckets("v"))), "buckets") for df in (queries, base)
     )
-    best = Window.partitionBy("query_id").orderBy("distance", "base_id")
-    return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = _grid_join(left, right, "bucket", schema, k, block_rows, carry)
+    return _best(found.dropDuplicates(["query_id", "base_id"]), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(recall): the share of the exact neighbours that were found."""
+    pairs = ["query_id", "base_id"]
+    hit = found.select(*pairs, F.lit(1).alias("hit"))
+    return exact.join(hit, pairs, "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
 def knn_classify(
@@ -212,11 +338,9 @@ def knn_classify(
 ) -> DataFrame:
     """(id, prediction): majority class of the k nearest; the smallest class
     wins a tie."""
-    near = knn_join(queries, base, k, id_col, vector, **blocks)
-    labelled = near.join(
-        base.select(F.col(id_col).alias("base_id"), F.col(label).alias("vote")), "base_id"
-    )
-    votes = labelled.groupBy("query_id", "vote").agg(F.count("*").alias("n"))
+    labelled = base.select(id_col, vector, F.col(label).alias("vote"))
+    near = knn_join(queries, labelled, k, id_col, vector, carry=("vote",), **blocks)
+    votes = near.groupBy("query_id", "vote").agg(F.count("*").alias("n"))
     return top_n_per_group(votes, "query_id", "n", "vote", 1).select(
         F.col("query_id").alias(id_col), F.col("vote").alias("prediction")
     )

@@ -25,6 +25,10 @@ best AS (SELECT * FROM (SELECT *,
 )
 
 
+#: Width of the hash buckets for the given vectors, which have unit variance in 64 places.
+WIDTH = 60.0
+
+
 def _vector_split(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"
@@ -50,6 +54,31 @@ def knn_classify(spark, sf_dir):
     return neighbours.knn_classify(queries, base, "label")
 
 
+@query(
+    "J8",
+    NEIGHBOURS
+    + """SELECT query_id, count(*) AS n_exact, TRUE AS distances_are_true, TRUE AS recall_is_high FROM best GROUP BY query_id""",
+)
+def knn_approximate(spark, sf_dir):
+    """Neighbours by hash tables beside the exact ones: true distances, none nearer than the
+    exact neighbour of the same rank, and nine in ten of all found. The vectors have no
+    clusters, so the buckets are wide."""
+    base, queries = _vector_split(spark, sf_dir)
+    exact = materialise(neighbours.knn_join(queries, base), "exact")
+    found = materialise(neighbours.knn_approximate(queries, base, width=WIDTH), "found")
+    high = neighbours.recall(found, exact).select(F.col("recall") >= 0.9).scalar()
+    given = found.select("query_id", "rank", F.col("distance").alias("there"))
+    return (
+        exact.join(given, ["query_id", "rank"], "left")
+        .groupBy("query_id")
+        .agg(
+            F.count("*").alias("n_exact"),
+            F.min(F.coalesce(F.col("there") >= F.col("distance") - 1e-9, F.lit(True))).alias("distances_are_true"),
+        )
+        .withColumn("recall_is_high", high)
+    )
+
+
 # Models on texts, with the language as the class --------------------------------
 
 

@@ -316,6 +316,62 @@ def test_knn_equals_brute_force(spark, case):
     assert rows(got.select("query_id", "base_id", "rank")) == brute_knn(q, b, 5)
 
 
+def test_knn_visits_few_balls_of_clustered_vectors(spark, monkeypatch):
+    """Copies of a vector are counted in the tables that are compared."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8)) * 100
+    base = [(i, (centres[i % 12] + rng.normal(size=8)).tolist()) for i in range(1200)]
+    query = [(5000 + i, (centres[i % 12] + rng.normal(size=8)).tolist()) for i in range(120)]
+    schema = "id bigint, vector array<double>"
+    seen = []
+    whole = neighbours._grid_join
+
+    def counted(left, right, *args, **kwargs):
+        seen.append((left.count(), right.count()))
+        return whole(left, right, *args, **kwargs)
+
+    monkeypatch.setattr(neighbours, "_grid_join", counted)
+    got = neighbours.knn_join(
+        spark.createDataFrame(query, schema), spark.createDataFrame(base, schema), block_rows=100, n_pivots=40
+    )
+    q, b = ([(i, np.array(v)) for i, v in x] for x in (query, base))
+    assert rows(got.select("query_id", "base_id", "rank")) == brute_knn(q, b, 5)
+    (own, size), (visits, again) = seen
+    assert own == len(query) and size == again == len(base)
+    assert visits <= 3 * len(query)  # of 12 shelves or more
+
+
+def test_shelves_hold_a_block_each():
+    count = np.array([5, 0, 250, 60, 50, 100, 1])
+    first, many = neighbours._shelves(count, 100)
+    load = {}
+    for ball, n in enumerate(count):
+        for s in range(many[ball]):
+            load[first[ball] + s] = load.get(first[ball] + s, 0) + n / many[ball]
+    assert max(load.values()) <= 100 and many.tolist() == [1, 1, 3, 1, 1, 1, 1]
+    marked = np.array([False, False, True, True, False, False, False])
+    assert neighbours._visited(marked, first, many).tolist() == sorted({*range(first[2], first[2] + 3), first[3]})
+
+
+@pytest.mark.parametrize("case", ["clusters", "hot"])
+def test_approximate_neighbours(spark, case):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(600, 8)) + rng.integers(0, 9, 600)[:, None] * 20.0
+    if case == "hot":
+        base[:400] = base[0]
+    query = base[:60] + 0.1 * rng.normal(size=(60, 8))
+    schema = "id bigint, vector array<double>"
+    q = spark.createDataFrame([(5000 + i, v.tolist()) for i, v in enumerate(query)], schema)
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], schema)
+    found = neighbours.knn_approximate(q, b, width=12.0, block_rows=64).cache()
+    exact = neighbours.knn_join(q, b).cache()
+    share = neighbours.recall(found, exact).first().recall
+    print(f"recall of 8 tables of 4 numbers, {case}: {share:.3f}")
+    assert share >= 0.9
+    assert found.select("query_id", "base_id").distinct().count() == found.count()
+    assert neighbours.knn_approximate(q, b.limit(0), width=1.0).count() == 0
+
+
 def test_knn_with_fewer_rows_than_k_and_vote_ties(spark):
     base = spark.createDataFrame([(1, [0.0], "b"), (2, [1.0], "a")], "id bigint, vector array<double>, c string")
     query = spark.createDataFrame([(9, [0.1])], "id bigint, vector array<double>")
