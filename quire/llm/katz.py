@@ -56,6 +56,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import Words, scramble
+from quire.llm.common import give_back, lean
 from quire.operators.lookup import lookup
 from quire.session import materialise, scratch_path
 
@@ -334,6 +335,7 @@ def _count_pairs(
         packed = bucket.filter(pa.compute.is_null(bucket["held"]))
         if packed.num_rows:
             out += pairs(list(zip(packed["base"].to_pylist(), packed["data"].to_pylist(), strict=True)), id_type)
+            give_back()
         return pa.Table.from_batches(out)
 
     def pairs(pieces: list, id_type: pa.DataType) -> list[pa.RecordBatch]:
@@ -341,6 +343,7 @@ def _count_pairs(
         _, first, same = np.unique(_pair(word, history), return_index=True, return_inverse=True)
         word, history = word[first], history[first]
         pair = np.repeat(same, many)
+        del same, many
         seen = np.bincount(pair, weights=n * learnt, minlength=first.size)
         words, at = np.unique(word, return_inverse=True)
         of_word = np.bincount(at, weights=seen, minlength=words.size)
@@ -408,7 +411,7 @@ def score(
         F.coalesce(trained, F.lit(True)).alias("trained"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    found = given.mapInArrow(_count_words, "w long, c long, n long")
+    found = given.mapInArrow(lean(_count_words), "w long, c long, n long")
     words = materialise(found.groupBy("w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
     everything, tokens, vocabulary, seen = _totals(words)
     d = discounts(seen)
@@ -424,11 +427,11 @@ def score(
     width = 1
     while width * fan < buckets:
         width *= fan
-    packed = given.mapInArrow(_pack_pairs(buckets, _grouping(buckets, frequent, width)), _PACKED.format(kind))
+    packed = given.mapInArrow(lean(_pack_pairs(buckets, _grouping(buckets, frequent, width))), _PACKED.format(kind))
     while width > 1:
         width //= fan
         again = _pack_again(_grouping(buckets, frequent, width))
-        packed = packed.repartition("bucket").mapInArrow(again, _PACKED.format(kind))
+        packed = packed.repartition("bucket").mapInArrow(lean(again), _PACKED.format(kind))
     schema, path = _TABLES.format(kind), scratch_path(spark, "pairs")
     counted = packed.groupBy("bucket").applyInArrow(_count_pairs(d, tokens, unknown, frequent, counts), schema)
     counted.write.partitionBy("kind").parquet(path)
