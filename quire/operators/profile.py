@@ -72,6 +72,29 @@ def authors_per_category(papers: DataFrame) -> DataFrame:
     )
 
 
+#: log2 of a sketch's registers; the standard error of a count is about 1.04 / 2^(LOG / 2).
+LOG_REGISTERS = 12
+
+
+def author_sketches(papers: DataFrame, log_registers: int = LOG_REGISTERS) -> DataFrame:
+    """(year, general_category, sketch): mergeable sketches of the authors, one small row per
+    group, however many papers it has. Write them once; later papers add their own rows.
+    Null years and categories are groups of their own."""
+    authors = exploded_authors(papers, "update_date", "general_category")
+    return (
+        authors.withColumn("year", scalars.year_of(F.col("update_date")))
+        .groupBy("year", "general_category")
+        .agg(F.hll_sketch_agg("author", F.lit(log_registers)).alias("sketch"))
+    )
+
+
+def sketched_authors(sketches: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n_authors): estimated distinct authors per group, or over all without keys, from
+    sketches alone. Sketches of one author in several groups count that author once."""
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return sketches.groupBy(*keys).agg(merged.alias("n_authors"))
+
+
 def label_counts(df: DataFrame, label: str, part: str = "split") -> DataFrame:
     return df.groupBy(part, label).agg(F.count("*").alias("n"))
 

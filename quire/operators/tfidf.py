@@ -11,9 +11,11 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import let, ngrams
+from quire.operators.bitmaps import Bitmap
 from quire.operators.lookup import fits_broadcast, lookup
 from quire.operators.ordering import dense_position, top_n_per_group
 from quire.operators.tokens import exploded, term_counts
@@ -22,15 +24,20 @@ from quire.session import materialise
 
 @dataclass
 class TfidfModel:
-    """``terms`` is a written table (term, idx, df, idf)."""
+    """``terms`` is a written table (term, idx, df, idf) of n-grams of ``ngrams`` tokens."""
 
     terms: DataFrame
     id_col: str = "id"
     tokens: str = "tokens"
+    ngrams: tuple[int, int] = (1, 1)
 
     def transform(self, docs: DataFrame) -> DataFrame:
         """(id, term, idx, tfidf) in long form; unseen terms have no row."""
         terms = self.terms.select("term", "idx", "idf")
+        if self.ngrams != (1, 1):
+            known = Bitmap(self.terms)
+            grams = F.filter(ngrams(F.col(self.tokens), *self.ngrams), known.may_hold)
+            docs = docs.select(self.id_col, grams.alias(self.tokens))
         if fits_broadcast(terms):
             # Unknown terms drop out before anything moves; the one shuffle, by
             # document, serves both the counting and the norm.
@@ -64,29 +71,56 @@ class TfidfModel:
         return PipelineModel(stages=[count, scale, unit])
 
 
+def _frequencies(docs: DataFrame, tokens: str, sizes: tuple[int, int], enough) -> DataFrame:
+    """(term, df) of the n-grams; of longer ones only those that can pass ``enough``.
+
+    An n-gram is in no more documents than its first and its last n - 1 tokens. So sizes are
+    counted one after the other, and an n-gram is only counted if both its parts may be
+    frequent, which is looked up in place before anything is moved.
+    """
+    low, high = sizes
+
+    def counted(grams: Column) -> DataFrame:
+        return exploded(docs, F.array_distinct(grams)).groupBy("term").agg(F.count("*").alias("df"))
+
+    found = counted(F.col(tokens))
+    if high == 1:
+        return found
+    levels, parts = [], F.col(tokens)
+    for size in range(1, high + 1):
+        if size > 1:
+            known = Bitmap(levels[-1])
+            fits = F.transform(parts, known.may_hold)
+            parts = ngrams(F.col(tokens), size, size)
+            both = let(fits, lambda ok: F.transform(parts, lambda g, i: F.when(F.get(ok, i) & F.get(ok, i + 1), g)))  # noqa: B023
+            found = counted(F.array_compact(both))
+        levels.append(materialise(enough(found).select("term", "df"), "frequent"))
+    out = levels[low - 1]
+    for level in levels[low:]:
+        out = out.unionByName(level)
+    return out
+
+
 def fit_tfidf(
     docs: DataFrame,
     min_df: int | float = 1,
     max_df: int | float = 1.0,
     id_col: str = "id",
     tokens: str = "tokens",
+    ngrams: tuple[int, int] = (1, 1),
 ) -> TfidfModel:
     """Learn vocabulary and idf from (id, tokens).
 
     ``min_df`` and ``max_df`` are counts if they are ints and shares of the
-    documents if they are floats; both bounds are kept. The result is written to
-    the scratch folder.
+    documents if they are floats; both bounds are kept. With ``ngrams`` (low, high) the
+    terms are runs of so many tokens. The result is written to the scratch folder.
     """
     n_docs = docs.agg(F.count("*")).scalar()
-    freq = (
-        exploded(docs, F.array_distinct(tokens))
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
-    )
 
     def bound(value):
         return F.lit(value) if isinstance(value, int) else F.lit(value) * F.col("n_docs")
 
+    freq = _frequencies(docs, tokens, ngrams, lambda df: df.withColumn("n_docs", n_docs).where(F.col("df") >= bound(min_df)))
     kept = (
         freq.withColumn("n_docs", n_docs)
         .where((F.col("df") >= bound(min_df)) & (F.col("df") <= bound(max_df)))
@@ -99,7 +133,7 @@ def fit_tfidf(
     # Numbering reads its input several times, so the counts are written first.
     numbered = dense_position(materialise(kept, "frequencies"), "term", "idx")
     terms = materialise(numbered.select("term", "idx", "df", "idf"), "tfidf")
-    return TfidfModel(terms, id_col, tokens)
+    return TfidfModel(terms, id_col, tokens, ngrams)
 
 
 def matrix_minimum(weights: DataFrame, docs: DataFrame) -> DataFrame:

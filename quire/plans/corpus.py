@@ -272,6 +272,29 @@ def describe_authors_per_category(spark, sf_dir):
     return quantiles.describe_counts(profile.authors_per_category(papers(spark, sf_dir)), "n_authors")
 
 
+@query(
+    "A1 A15",
+    with_views(PAPERS, AUTHORS)
+    + """SELECT general_category, count(DISTINCT author) AS n_exact, TRUE AS is_close FROM authors GROUP BY ALL
+UNION ALL SELECT 'all', count(DISTINCT author), TRUE FROM authors""",
+)
+def sketched_authors(spark, sf_dir):
+    """Authors per category and over all, rolled up from one written table of sketches by year
+    and category, within four standard errors of the exact numbers."""
+    rows = papers(spark, sf_dir)
+    sketches = materialise(profile.author_sketches(rows), "sketches")
+    whole = F.lit("all").alias("general_category")
+    found = profile.sketched_authors(sketches, "general_category").unionByName(
+        profile.sketched_authors(sketches).select(whole, "n_authors")
+    )
+    exact = profile.authors_per_category(rows).unionByName(profile.distinct_authors(rows).select(whole, "n_authors"))
+    bound = 4 * 1.04 / 2 ** (profile.LOG_REGISTERS / 2)
+    near = F.abs(F.col("n_authors") - F.col("n_exact")) <= 1 + bound * F.col("n_exact")
+    return exact.withColumnRenamed("n_authors", "n_exact").join(found, "general_category").select(
+        "general_category", "n_exact", near.alias("is_close")
+    )
+
+
 SPLIT = """split AS (SELECT *, row_number() OVER (ORDER BY md5('{seed}:' || {id}))
   <= ceil({share}::DOUBLE * count(*) OVER ()) AS is_test FROM {source})"""
 
@@ -556,6 +579,27 @@ def shuffled(spark, sf_dir):
     return ordering.shuffled(table(spark, sf_dir, "labels"), 5)
 
 
+@query(
+    "O8",
+    """SELECT epoch::INTEGER AS epoch, count(*) AS n, count(*) AS n_places, 0::BIGINT AS low, count(*) - 1 AS high,
+  TRUE AS differs FROM labels, range(1, 4) e(epoch) GROUP BY epoch""",
+)
+def epoch_orders(spark, sf_dir):
+    """Three epochs over one table: each is a permutation, no two are the same."""
+    rows = materialise(ordering.dense_position(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "at"), "positions")
+    n = rows.count()
+    orders = rows.select(*[ordering.epoch_place("at", n, e).alias(f"e{e}") for e in (1, 2, 3)])
+    moved = [F.count_if(F.col(f"e{e}") != F.col(f"e{e % 3 + 1}")).alias(f"moved{e}") for e in (1, 2, 3)]
+    differs = orders.agg(*moved).select(F.least(*[f"moved{e}" for e in (1, 2, 3)]) > 0).scalar()
+    long = orders.select(F.posexplode(F.array("e1", "e2", "e3")).alias("epoch", "place"))
+    return long.groupBy((F.col("epoch") + 1).alias("epoch")).agg(
+        F.count("*").alias("n"),
+        F.count_distinct("place").alias("n_places"),
+        F.min("place").alias("low"),
+        F.max("place").alias("high"),
+    ).withColumn("differs", differs)
+
+
 @query(
     "O9",
     with_views(PAPERS, SPLIT.format(seed=10, share=0.2, id="id", source="papers"))

@@ -345,13 +345,12 @@ def _letter_tokens(spark, sf_dir):
     return documents(spark, sf_dir).select("id", "lang", spelled.alias("tokens"))
 
 
-def stemmed_documents(spark, sf_dir, low=1, high=1):
-    """(id, tokens): stems without stop words, as n-grams if asked; written, as
-    fitting and transforming both read it."""
+def stemmed_documents(spark, sf_dir):
+    """(id, tokens): stems without stop words; written, as fitting and transforming
+    both read it."""
     stems = tokens.stem_documents(_letter_tokens(spark, sf_dir))
     kept = stems.select("id", text.drop_stop_words(F.col("tokens")).alias("tokens"))
-    written = materialise(kept, "stemmed")
-    return written.select("id", text.ngrams(F.col("tokens"), low, high).alias("tokens"))
+    return materialise(kept, "stemmed")
 
 
 @query(
@@ -373,8 +372,8 @@ def stemmed_tokens(spark, sf_dir):
     + "SELECT id, term, idx, round(tfidf, 6) AS tfidf FROM weights",
 )
 def tfidf_ngrams(spark, sf_dir):
-    docs = stemmed_documents(spark, sf_dir, 1, 3)
-    model = tfidf.fit_tfidf(docs, min_df=10, max_df=0.9)
+    docs = stemmed_documents(spark, sf_dir)
+    model = tfidf.fit_tfidf(docs, min_df=10, max_df=0.9, ngrams=(1, 3))
     return _rounded(model.transform(docs), "id", "term", "idx")
 
 

@@ -6,7 +6,7 @@ from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import joins, models, neighbours, ordering, tfidf
+from quire.operators import joins, lowrank, models, neighbours, ordering, tfidf
 from quire.plans.corpus import SPLIT
 from quire.plans.registry import query, table
 from quire.plans.textual import documents, stemmed_weights
@@ -160,24 +160,30 @@ def one_hot(spark, sf_dir):
 # Clusters and projections -------------------------------------------------------
 
 
+def weight_tiles(spark, sf_dir):
+    """(documents, model, written weights, their tiles)."""
+    docs, model = stemmed_weights(spark, sf_dir)
+    weights = materialise(model.transform(docs).select("id", "idx", "term", "tfidf"), "weights")
+    return docs, model, weights, lowrank.tiles(weights, docs)
+
+
 @query("T13 T14")
 def kmeans_terms(spark, sf_dir):
-    docs, model = stemmed_weights(spark, sf_dir)
-    _, clusters = models.kmeans(models.features(model, docs), seed=5)
-    return tfidf.cluster_terms(model.transform(docs), clusters)
+    _, _, weights, tiles = weight_tiles(spark, sf_dir)
+    _, clusters = lowrank.kmeans(tiles)
+    return tfidf.cluster_terms(weights, clusters)
 
 
 @query("T15 T16")
 def svd_terms(spark, sf_dir):
-    docs, model = stemmed_weights(spark, sf_dir)
-    basis, _ = models.svd_basis(models.features(model, docs), 50)
-    return models.component_terms(basis, model.terms, 15)
+    _, model, _, tiles = weight_tiles(spark, sf_dir)
+    basis, _ = lowrank.svd(tiles, 50, tol=1e-3)
+    return lowrank.component_terms(basis, model.terms, 15)
 
 
 @query("T15 T17")
 def project_2d(spark, sf_dir):
-    docs, model = stemmed_weights(spark, sf_dir)
-    vectors = materialise(models.features(model, docs), "features")
-    basis, _ = models.svd_basis(vectors, 50)
-    _, clusters = models.kmeans(vectors, seed=5)
-    return models.project_2d(models.svd_scores(model.transform(docs), basis, docs), clusters)
+    docs, _, weights, tiles = weight_tiles(spark, sf_dir)
+    basis, _ = lowrank.svd(tiles, 2, tol=1e-4)
+    _, clusters = lowrank.kmeans(tiles)
+    return models.project_2d(models.svd_scores(weights, basis, docs), clusters)
