@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.constants import ENGLISH_STOP_WORDS
 from quire.functions import names, scalars, text
 from quire.functions import stem as S
-from quire.operators import ordering, profile, tfidf, tokens
+from quire.operators import cooccurrence, ordering, profile, tfidf, tokens
 from quire.plans.registry import query, table
 from quire.plans.corpus import SPLIT
 from quire.plans.views import NON_SPACE_CLASS, PAPERS, papers, with_views
@@ -427,3 +427,61 @@ def mean_pool(spark, sf_dir):
     return pooled.select("id", F.posexplode("vector").alias("dim", "value")).withColumn(
         "value", F.round("value", 6)
     )
+
+
+# Vectors learned from the corpus ------------------------------------------------
+
+PAIRS = f"""docs AS (SELECT doc_id AS id, regexp_extract_all({ALPHANUMERICS.format(c='text')}, '[^ ]+') AS tokens FROM documents),
+placed AS (SELECT id, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM docs),
+vocab AS (SELECT term FROM placed GROUP BY term HAVING count(DISTINCT id) >= 20),
+kept AS (SELECT placed.* FROM placed JOIN vocab USING (term)),
+once AS (SELECT x.term AS a, y.term AS b FROM kept x JOIN kept y ON x.id = y.id AND y.pos IN (x.pos + 1, x.pos + 2)),
+pairs AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM once UNION ALL SELECT b, a FROM once) GROUP BY a, b),
+margins AS (SELECT a, sum(n) AS n_a FROM pairs GROUP BY a)"""
+
+
+def _frequent_vocabulary(docs):
+    counted = tokens.exploded(docs, F.array_distinct("tokens")).groupBy("term").agg(F.count("*").alias("df"))
+    kept = materialise(counted.where("df >= 20").select("term"), "terms")
+    return materialise(ordering.dense_position(kept, "term", "idx"), "vocabulary")
+
+
+@query(
+    "T18",
+    f"""WITH {PAIRS}
+SELECT p.a, p.b, p.n::BIGINT AS n, round(greatest(ln(p.n * (SELECT sum(n) FROM pairs) / (x.n_a * y.n_a)), 0), 6) AS pmi
+FROM pairs p JOIN margins x ON x.a = p.a JOIN margins y ON y.a = p.b""",
+)
+def token_pairs(spark, sf_dir):
+    """Tokens that stand at most two places apart, and how much more often than by chance."""
+    docs = _clean_tokens(spark, sf_dir)
+    vocab = _frequent_vocabulary(docs)
+    counts = cooccurrence.cooccurrence(docs, vocab, 2)
+    positive = cooccurrence.positive_pmi(counts)
+    found = counts.join(positive, ["a", "b"], "left")
+    for side in ("a", "b"):
+        found = found.join(vocab.select(F.col("idx").alias(side), F.col("term").alias(f"term_{side}")), side)
+    return found.select(
+        F.col("term_a").alias("a"), F.col("term_b").alias("b"), "n", F.round(F.coalesce("pmi", F.lit(0.0)), 6).alias("pmi")
+    )
+
+
+@query(
+    "T18",
+    f"""WITH {PAIRS} SELECT id, count(v.term) AS n_known, count(v.term) > 0 AS has_vector, TRUE AS is_wide
+FROM docs LEFT JOIN placed USING (id) LEFT JOIN vocab v USING (term) GROUP BY id""",
+)
+def learned_vectors(spark, sf_dir):
+    """Documents as means of token vectors that were learned from them."""
+    docs = materialise(_clean_tokens(spark, sf_dir), "tokens")
+    vocab = _frequent_vocabulary(docs)
+    vectors = cooccurrence.token_vectors(docs, vocab, width=16, window=2, rounds=4)
+    known = docs.select("id", F.explode_outer("tokens").alias("term")).join(vocab.select("term", "idx"), "term", "left")
+    counted = known.groupBy("id").agg(F.count("idx").alias("n_known"))
+    pooled = tokens.mean_pool(docs, vectors)
+    return pooled.join(counted, "id").select(
+        "id",
+        "n_known",
+        F.col("vector").isNotNull().alias("has_vector"),
+        F.coalesce(F.size("vector") == F.least(F.lit(16), F.lit(vocab.count())), F.lit(True)).alias("is_wide"),
+    )
