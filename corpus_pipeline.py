@@ -16,8 +16,20 @@ from quire.llm.common import read
 from quire.session import materialise
 
 
+#: Rows of a batch that tasks hand to Python. Whole texts are long rows: with Spark's
+#: default of 10,000 the buffers of two tasks take more of an executor than the stage itself.
+BATCH_ROWS = 1_000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents in none of the languages, or without text, go."""
+    _short_batches(spark)
     return language.accepted(
         docs, model=language.fit(docs), declared=F.col("lang"), host=F.col("source")
     )
@@ -25,11 +37,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: lines that ten sources or more share go; every document stays."""
+    _short_batches(spark)
     return lines.removed(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of each group of near copies (five words, 0.8) one document stays."""
+    _short_batches(spark)
     return minmax.keep_one(docs)
 
 
@@ -40,6 +54,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: the ids of each text, and whether they decode to it."""
+    _short_batches(spark)
     coded = bpe.encoded(
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )

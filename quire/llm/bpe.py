@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces (in each of two generations) and pairs remembered by one task, and the
-#: longest piece that is remembered.
-MEMO = 400_000
+from quire.llm.common import lean
+
+#: Pieces (in each of two generations, about 200 bytes each) and pairs remembered by one
+#: task, and the longest piece that is remembered.
+MEMO = 250_000
 LONG_PIECE = 64
 
 
@@ -53,6 +55,8 @@ class Codec:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
+        # One object per id, shared by all that is remembered.
+        self.own = list(range(len(self.lengths)))
         self.halves: dict[int, tuple[int, int]] = {}
         self.shorter: dict[int, int] = {}
         self.fits: dict[int, bool] = {}
@@ -167,7 +171,7 @@ class Codec:
     def _of_piece(self, piece: str) -> list[int]:
         ids = self.recent.get(piece) or self.older.get(piece)
         if ids is None:
-            ids = self.encode_piece(piece.encode())
+            ids = [self.own[i] for i in self.encode_piece(piece.encode())]
             if len(piece) > LONG_PIECE:
                 return ids
         if len(self.recent) >= MEMO:  # what was not used for a whole filling goes
@@ -175,6 +179,10 @@ class Codec:
         self.recent[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drop what is remembered of pieces and pairs."""
+        self.recent, self.older, self.fits = {}, {}, {}
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -189,6 +197,12 @@ def codec_for(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def forget() -> None:
+    """Drop the memos of this worker; tasks of other operators call it when they begin."""
+    for codec in _codecs.values():
+        codec.forget()
+
+
 def encoded(
     docs: DataFrame,
     path: str,
@@ -220,7 +234,7 @@ def encoded(
                     names=[*names, ids_col, decoded_col],
                 )
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(lean(run, keep_memos=True), schema)
 
 
 def digests(
@@ -248,4 +262,4 @@ def digests(
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(lean(run, keep_memos=True), schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -51,11 +52,17 @@ def give_back() -> None:
         trim(0)
 
 
-def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The same task function, which gives freed memory back at its end."""
+def lean(run: Callable[[Iterator], Iterator], keep_memos: bool = False) -> Callable[[Iterator], Iterator]:
+    """The same task function, which gives freed memory back at its end. What an earlier
+    stage left in the worker to be quick again (the codecs' memos) goes first, but for
+    ``keep_memos``."""
 
     @wraps(run)
     def task(batches: Iterator) -> Iterator:
+        codecs = sys.modules.get("quire.llm.bpe")
+        if codecs is not None and not keep_memos:
+            codecs.forget()
+            give_back()
         try:
             yield from run(batches)
         finally:

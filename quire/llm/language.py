@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import text_hash, without
+from quire.llm.common import lean, text_hash, without
 from quire.session import materialise
 
 #: Distinct texts the trigram model is fitted on, shared by the labels, and the least of
@@ -141,7 +141,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") ->
         yield from given()
 
     found = (
-        sample.mapInArrow(count, "number int, slot int, n long")
+        sample.mapInArrow(lean(count), "number int, slot int, n long")
         .groupBy("number", "slot")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -186,7 +186,7 @@ def _likelihoods(rows: DataFrame, trigrams: Trigrams) -> DataFrame:
                 [*columns, pa.array(out, pa.list_(pa.float64()))], names=[*names, "ll"]
             )
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(lean(score), schema)
 
 
 def _softmax(logs: np.ndarray) -> np.ndarray:
@@ -224,7 +224,7 @@ def _sums(rows: DataFrame, key: Column, name: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([keys.dictionary, sums], names=[name, "s"])
 
     parts = rows.where("ll IS NOT NULL").select(key.alias(name), "ll").where(F.col(name).isNotNull())
-    groups = parts.mapInArrow(add, f"{name} string, s array<double>").groupBy(name)
+    groups = parts.mapInArrow(lean(add), f"{name} string, s array<double>").groupBy(name)
     if size > SUM_COLUMNS:
         total = groups.agg(Summarizer.sum(array_to_vector("s")).alias("s"))
         return total.select(name, vector_to_array("s").alias(f"n_{name}"))
@@ -264,7 +264,7 @@ def _fused(rows: DataFrame, classes: list[str], world: np.ndarray) -> DataFrame:
             )
 
     schema = rows.select("id", "print").schema.add("language", T.StringType()).add("confidence", T.DoubleType())
-    return rows.select("id", "print", "ll", *[f"n_{k}" for k in kinds]).mapInArrow(fuse, schema)
+    return rows.select("id", "print", "ll", *[f"n_{k}" for k in kinds]).mapInArrow(lean(fuse), schema)
 
 
 def _clean(c: Column | None) -> Column:

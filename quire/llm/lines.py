@@ -17,12 +17,13 @@ keep their row; an empty table gives an empty one; other columns are kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SENT_KEYS, SPACES, own_prefix, text_hash
+from quire.llm.common import SENT_KEYS, SPACES, lean, own_prefix, text_hash
 from quire.session import materialise
 
 #: Sites from which on a line is boilerplate, and the sketch's size (log2 of registers).
@@ -153,4 +154,4 @@ def removed(
         n = F.coalesce(F.size(F.split(F.col(text_col).cast("string"), "\n")), F.lit(0))
         n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n)
         as_is = as_is.select("*", n.cast("long").alias(counts[0]), F.lit(0).cast("long").alias(counts[1]))
-    return hashed.mapInArrow(cut, schema).unionByName(as_is)
+    return hashed.mapInArrow(lean(cut), schema).unionByName(as_is)
