@@ -163,7 +163,7 @@ def train_head(
         materialise(df.select(id_col, "label", vector_to_array("features").alias("x")), "head-rows") for df in (train, valid)
     )
     path = path or scratch_path(spark, "head")
-    one = train.select(F.size("x").alias("n")).first()
+    one = train.unionByName(valid).select(F.size("x").alias("n")).first()
     head = new_head(one.n if one else 0, n_classes, hidden, seed)
     state = {"values": head.values, "first": np.zeros(head.values.size), "second": np.zeros(head.values.size)}
     history: list[tuple] = []

@@ -170,7 +170,7 @@ def weight_tiles(spark, sf_dir):
 @query("T13 T14")
 def kmeans_terms(spark, sf_dir):
     _, _, weights, tiles = weight_tiles(spark, sf_dir)
-    _, clusters = lowrank.kmeans(tiles)
+    _, clusters = lowrank.kmeans(tiles, rounds=2, max_iter=8, tol=1e-3)
     return tfidf.cluster_terms(weights, clusters)
 
 
@@ -185,5 +185,5 @@ def svd_terms(spark, sf_dir):
 def project_2d(spark, sf_dir):
     docs, _, weights, tiles = weight_tiles(spark, sf_dir)
     basis, _ = lowrank.svd(tiles, 2, tol=1e-4)
-    _, clusters = lowrank.kmeans(tiles)
+    _, clusters = lowrank.kmeans(tiles, rounds=2, max_iter=8, tol=1e-3)
     return models.project_2d(models.svd_scores(weights, basis, docs), clusters)
