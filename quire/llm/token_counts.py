@@ -120,6 +120,22 @@ def dictionary(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     )
 
 
+def _cutoff(pieces: DataFrame) -> int:
+    """The smallest frequency, to an eighth of a power of two, that at most HEAD pieces reach.
+
+    Frequencies are counted by class first, so no task sees more than a row per class.
+    """
+    steps = F.floor(F.log2("n") * 8).cast("int")
+    found = pieces.groupBy(steps.alias("step")).agg(F.count("*").alias("c"), F.min("n").alias("low")).collect()
+    total, low = 0, 1 << 62
+    for row in sorted(found, key=lambda r: -r.step):
+        total += row.c
+        if total > HEAD:
+            break
+        low = row.low
+    return low
+
+
 def count_tokens(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -127,7 +143,7 @@ def count_tokens(
     spark = docs.sparkSession
     known = materialise(dictionary(docs, path, pattern, text_col), "pieces")
     short = known.where(F.octet_length("piece") <= HEAD_BYTES)
-    head = short.orderBy(F.desc("n"), "piece").limit(HEAD).select("piece", "tokens").toArrow()
+    head = short.where(F.col("n") >= _cutoff(short)).select("piece", "tokens").toArrow()
     table = dict(zip(head["piece"].to_pylist(), head["tokens"].to_pylist(), strict=True))
     shared = spark.sparkContext.broadcast(table)
 
