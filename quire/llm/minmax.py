@@ -17,7 +17,8 @@ pairs of a band bucket have to be looked at:
    that were none before; only these can link anything new. Small buckets give
    all such pairs. In large ones the full sets (all 64 bits of the hashes) are counted
    against each other inside the task, and only similar pairs that join groups leave
-   it; very large ones are cut into parts that meet two by two.
+   it; buckets of more than ``PART`` hashes are cut into parts that meet two by two, so
+   that a task's memory follows the lengths of the sets and not their number.
 
 Defined cases: a null or wordless text has no shingle, is linked with nothing and
 its own group; with fewer words than a shingle the whole text is one; a null id is
@@ -40,13 +41,14 @@ from pyspark.sql import functions as F
 
 from quire.llm import blocks
 from quire.llm.blocks import KEY
-from quire.llm.common import SPACES, text_hash, without
+from quire.llm.common import SPACES, lean, text_hash, without
 from quire.llm.graph import components
 from quire.session import materialise
 
 PERMUTATIONS, BAND = 64, 4
-#: Sets of a bucket that are simply paired; sets that one task compares with each other.
-SMALL_BUCKET, PART = 32, 2048
+#: Sets of a bucket that are simply paired; hashes of the sets of one part of a larger bucket.
+#: A task compares two parts, with about 60 bytes a hash.
+SMALL_BUCKET, PART = 32, 1 << 20
 _CAPITALS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _AT_ONCE = 4096
 
@@ -116,7 +118,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
             )
 
     return docs.mapInArrow(
-        run, f"id {blocks.id_type(docs)}, print long, n long, d1 long, d2 long, bands array<long>"
+        lean(run), f"id {blocks.id_type(docs)}, print long, n long, d1 long, d2 long, bands array<long>"
     )
 
 
@@ -136,7 +138,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 )
 
     return (
-        holding.join(named, same).select("node", "text").mapInArrow(run, "node long, own array<long>")
+        holding.join(named, same).select("node", "text").mapInArrow(lean(run), "node long, own array<long>")
     )
 
 
@@ -174,7 +176,7 @@ class _Index:
 
 
 def _joining_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Similar pairs (a, b), a < b, that join groups inside each bucket (key, c, node, root)."""
+    """Similar pairs (a, b), a < b, that join groups inside each bucket (key, node, root)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,12 +184,18 @@ def _joining_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "packed"])
 
     wanted = buckets.select("node").distinct()
-    whole = sets.join(wanted, "node", "left_semi").mapInArrow(pack, "node long, packed binary")
-    parts = F.ceil(F.col("c") / PART).cast("int")
+    whole = sets.join(wanted, "node", "left_semi").mapInArrow(lean(pack), "node long, packed binary")
+    lengths = sets.select("node", F.size("own").alias("length"))
+    sizes = (
+        buckets.select("key", "node").join(lengths, "node")
+        .groupBy("key").agg(F.ceil(F.sum("length") / PART).cast("int").alias("parts"))
+    )
+    parts = F.col("parts")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), parts - 1))
     rows = (
-        buckets.join(whole, "node")
+        buckets.join(sizes, "key")
+        .join(whole, "node")
         .select("key", "node", "root", "packed", part.alias("part"), other.alias("other"))
         .withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
         .drop("other")

@@ -65,7 +65,7 @@ def test_groups_against_brute_force(docs_of, odd, size):
     assert set(stand.values()) == {1}
 
 
-@pytest.mark.parametrize("small,part", [(2, 4096), (0, 20)])
+@pytest.mark.parametrize("small,part", [(2, 1 << 20), (0, 600)])
 def test_large_buckets_by_index(docs_of, small, part, monkeypatch):
     """All buckets, or those of three and more, through the index; and cut into parts."""
     monkeypatch.setattr(minmax, "SMALL_BUCKET", small)
