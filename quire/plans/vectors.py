@@ -177,13 +177,13 @@ def kmeans_terms(spark, sf_dir):
 @query("T15 T16")
 def svd_terms(spark, sf_dir):
     _, model, _, tiles = weight_tiles(spark, sf_dir)
-    basis, _ = lowrank.svd(tiles, 50, tol=1e-3)
+    basis, _ = lowrank.svd(tiles, 50, tol=1e-3, max_iter=12)
     return lowrank.component_terms(basis, model.terms, 15)
 
 
 @query("T15 T17")
 def project_2d(spark, sf_dir):
     docs, _, weights, tiles = weight_tiles(spark, sf_dir)
-    basis, _ = lowrank.svd(tiles, 2, tol=1e-4)
+    basis, _ = lowrank.svd(tiles, 2, tol=1e-3, max_iter=12)
     _, clusters = lowrank.kmeans(tiles, rounds=2, max_iter=8, tol=1e-3)
     return models.project_2d(models.svd_scores(weights, basis, docs), clusters)
