@@ -180,7 +180,8 @@ def dense_position(df: DataFrame, key: str, name: str = "position") -> DataFrame
         .withColumn("_bucket", bucket_of(key, "_borders", cuts))
         .drop("_borders")
     )
-    # One row per bucket, so this window stays small.
+    # One row per bucket, so this window stays small. A map and not a join on the bucket: the
+    # planner would move a filter on the bucket's expression to a side without the key.
     shifts = (
         bucketed.groupBy("_bucket")
         .agg(F.count("*").alias("_n"))
@@ -188,14 +189,16 @@ def dense_position(df: DataFrame, key: str, name: str = "position") -> DataFrame
             "_bucket",
             (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_shift"),
         )
+        .agg(F.map_from_entries(F.collect_list(F.struct("_bucket", "_shift"))))
+        .scalar()
     )
     placed = bucketed.withColumn(
         "_row", F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
     )
     return (
-        placed.join(F.broadcast(shifts), "_bucket")
-        .withColumn(name, F.col("_shift") + F.col("_row") - 1)
-        .drop("_bucket", "_row", "_shift")
+        placed.withColumn("_shifts", shifts)
+        .withColumn(name, F.element_at("_shifts", F.col("_bucket")) + F.col("_row") - 1)
+        .drop("_bucket", "_row", "_shifts")
     )
 
 
