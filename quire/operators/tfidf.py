@@ -34,19 +34,16 @@ class TfidfModel:
     def transform(self, docs: DataFrame) -> DataFrame:
         """(id, term, idx, tfidf) in long form; unseen terms have no row."""
         terms = self.terms.select("term", "idx", "idf")
+        # The tokens are dealt out by document once, as arrays; counting, the norm and (if
+        # the terms are sent to every task) the lookup then find them where they are.
+        docs = docs.select(self.id_col, self.tokens).repartition(self.id_col)
         if self.ngrams != (1, 1):
             known = Bitmap(self.terms)
             grams = F.filter(ngrams(F.col(self.tokens), *self.ngrams), known.may_hold)
             docs = docs.select(self.id_col, grams.alias(self.tokens))
         if fits_broadcast(terms):
-            # Unknown terms drop out before anything moves; the one shuffle, by
-            # document, serves both the counting and the norm.
             known = lookup(exploded(docs, self.tokens, self.id_col), terms, "term", self.id_col)
-            counts = (
-                known.repartition(self.id_col)
-                .groupBy(self.id_col, "term", "idx", "idf")
-                .agg(F.count("*").alias("tf"))
-            )
+            counts = known.groupBy(self.id_col, "term", "idx", "idf").agg(F.count("*").alias("tf"))
         else:
             counted = term_counts(docs, self.tokens, self.id_col)
             counts = lookup(counted, terms, "term", self.id_col)
@@ -169,7 +166,7 @@ def cluster_terms(
 ) -> DataFrame:
     """(cluster, term, weight, rank): top terms per cluster by summed weight."""
     sums = (
-        weights.join(clusters.select(id_col, "cluster"), id_col)
+        lookup(weights, clusters.select(id_col, "cluster"), id_col, "term")
         .groupBy("cluster", "term")
         .agg(F.sum("tfidf").alias("weight"))
     )

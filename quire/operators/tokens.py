@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.constants import MAX_TOKENS
 from quire.functions.stem import with_stem
@@ -12,6 +20,9 @@ from quire.operators.ordering import dense_position
 from quire.operators.vectors import sum_vectors, vector_width
 from quire.session import materialise
 
+# The helpers below travel to the workers with the tasks that call them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Ids of the marker tokens; words follow from FIRST_WORD on.
 PAD, UNKNOWN, START, END = 0, 1, 2, 3
 FIRST_WORD = 4
@@ -44,17 +55,72 @@ def stem_table(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
 def stem_documents(docs: DataFrame, tokens: str = "tokens", id_col: str = "id") -> DataFrame:
     """(id, tokens) with every token replaced by its stem, in place.
 
-    The rules run once per distinct token; the join brings the stems back and a
-    document is rebuilt from its own positions. Documents without tokens stay.
+    The rules run once per distinct token. Documents are coded in batches: a batch has its
+    distinct tokens once, so that only these are exploded, looked up and moved, and the
+    documents come back from the codes. Documents without tokens stay; several rows of
+    one id become one, in order of position and stem.
     """
-    placed = docs.select(id_col, F.posexplode_outer(tokens).alias("pos", "token"))
-    found = lookup(placed, stem_table(docs, tokens), "token", id_col, how="left")
-    rebuilt = found.groupBy(id_col).agg(
-        F.array_sort(
-            F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "stem")))
-        ).alias("parts")
-    )
-    return rebuilt.select(id_col, F.col("parts.stem").alias(tokens))
+    docs = docs.select(id_col, tokens)
+    ids = docs.schema[id_col]
+    coded_schema = T.StructType([T.StructField("b", T.LongType()), T.StructField("ids", T.ArrayType(ids.dataType)), *_CODED])
+    coded = materialise(docs.mapInArrow(_coded, coded_schema), "coded")
+    parts = coded.select(F.col("b").alias("of"), F.posexplode("words").alias("u", "token"))
+    found = lookup(parts, stem_table(coded, "words"), "token", "of").select("of", "u", "stem")
+
+    def back(batch: pa.Table, words: pa.Table) -> pa.Table:
+        return _decoded(batch, words, [id_col, tokens])
+
+    schema = T.StructType([ids, T.StructField(tokens, T.ArrayType(T.StringType()))])
+    rebuilt = coded.drop("words").groupBy("b").cogroup(found.groupBy("of")).applyInArrow(back, schema)
+    if not docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return rebuilt
+    placed = F.transform(tokens, lambda stem, pos: F.struct(pos.alias("pos"), stem.alias("stem")))
+    merged = rebuilt.groupBy(id_col).agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("parts"))
+    return merged.select(id_col, F.col("parts.stem").alias(tokens))
+
+
+#: A batch of documents: tokens per document, codes of the tokens one after the other
+#: (-1: null), and the distinct tokens, by code.
+_CODED = [
+    T.StructField("sizes", T.ArrayType(T.IntegerType())),
+    T.StructField("codes", T.BinaryType()),
+    T.StructField("words", T.ArrayType(T.StringType())),
+]
+_BATCH_DOCS = 2_000
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place, n = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, _BATCH_DOCS):
+            part = batch.slice(at, _BATCH_DOCS)
+            ids, lists = part.column(0), part.column(1)
+            words = lists.flatten().dictionary_encode()
+            codes = pc.fill_null(words.indices, -1).to_numpy(zero_copy_only=False).astype(np.int32)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32())
+            # One list of everything per column.
+            columns = [
+                pa.array([place + n]),
+                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), sizes),
+                pa.array([codes.tobytes()], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary),
+            ]
+            n += 1
+            yield pa.RecordBatch.from_arrays(columns, names=["b", "ids", "sizes", "codes", "words"])
+
+
+def _decoded(batch: pa.Table, words: pa.Table, names: list[str]) -> pa.Table:
+    """(id, texts) of a batch (b, ids, sizes, codes), with a text (of, u, text) per code."""
+    one = batch.combine_chunks()
+    ids, sizes = (one.column(k).chunk(0).flatten() for k in (1, 2))
+    codes = np.frombuffer(one.column(3)[0].as_py(), np.int32)
+    words = words.combine_chunks()
+    place = np.full(words.num_rows + 1, words.num_rows, np.int64)  # the last is for null
+    place[words.column(1).to_numpy()] = np.arange(words.num_rows)
+    texts = pa.concat_arrays([*words.column(2).chunks, pa.nulls(1, words.schema.field(2).type)]).take(pa.array(place[codes]))
+    offsets = np.append(0, np.cumsum(sizes.to_numpy())).astype(np.int32)
+    return pa.table([ids, pa.ListArray.from_arrays(pa.array(offsets), texts)], names=names)
 
 
 def vocabulary(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
