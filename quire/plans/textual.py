@@ -8,6 +8,7 @@ from quire.constants import ENGLISH_STOP_WORDS
 from quire.functions import names, scalars, text
 from quire.functions import stem as S
 from quire.operators import cooccurrence, ordering, profile, tfidf, tokens
+from quire.operators.lookup import lookup
 from quire.plans.registry import query, table
 from quire.plans.corpus import SPLIT
 from quire.plans.views import NON_SPACE_CLASS, PAPERS, papers, with_views
@@ -454,15 +455,15 @@ FROM pairs p JOIN margins x ON x.a = p.a JOIN margins y ON y.a = p.b""",
 )
 def token_pairs(spark, sf_dir):
     """Tokens that stand at most two places apart, and how much more often than by chance."""
-    docs = _clean_tokens(spark, sf_dir)
+    docs = materialise(_clean_tokens(spark, sf_dir), "tokens")
     vocab = _frequent_vocabulary(docs)
     counts = cooccurrence.cooccurrence(docs, vocab, 2)
-    positive = cooccurrence.positive_pmi(counts)
-    found = counts.join(positive, ["a", "b"], "left")
-    for side in ("a", "b"):
-        found = found.join(vocab.select(F.col("idx").alias(side), F.col("term").alias(f"term_{side}")), side)
+    found = cooccurrence.positive_pmi(counts, every=True)
+    for side, other in (("a", "b"), ("b", "a")):
+        names = vocab.select(F.col("idx").alias(side), F.col("term").alias(f"term_{side}"))
+        found = lookup(found, names, side, other)
     return found.select(
-        F.col("term_a").alias("a"), F.col("term_b").alias("b"), "n", F.round(F.coalesce("pmi", F.lit(0.0)), 6).alias("pmi")
+        F.col("term_a").alias("a"), F.col("term_b").alias("b"), "n", F.round("pmi", 6).alias("pmi")
     )
 
 
