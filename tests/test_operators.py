@@ -411,3 +411,25 @@ def test_mcc_of_a_one_class_batch_is_zero(spark):
 def test_log_loss_is_clamped(spark):
     df = spark.createDataFrame([(0, [0.5, 0.5]), (1, [1.0, 0.0])], "label int, scores array<double>")
     assert evaluate.log_loss(df).first().log_loss == pytest.approx((math.log(2) - math.log(1e-15)) / 2)
+
+
+def test_stems_of_repeated_and_null_ids_without_moving_every_token(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "_BATCH_DOCS", 2)
+    rows = [(1, ["hopping", "cats", "hopping"]), (2, []), (3, None), (None, ["dogs"]), (5, ["b", None, "cats"])]
+    once = tokens.stem_documents(spark.createDataFrame(rows, "id long, tokens array<string>"))
+    assert "collect_list" not in once._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    got = {r.id: r.tokens for r in once.collect()}
+    assert got == {1: ["hop", "cat", "hop"], 2: [], 3: [], None: ["dog"], 5: ["b", None, "cat"]}
+    more = [*rows, (None, ["running", "x"]), (5, ["cats", "running"])]
+    twice = tokens.stem_documents(spark.createDataFrame(more, "id long, tokens array<string>"))
+    got = {r.id: r.tokens for r in twice.collect()}
+    assert got[None] == ["dog", "run", "x"] and got[5] == ["b", "cat", None, "run", "cat"]
+
+
+def test_numbered_table_of_rows_with_nulls(spark, tmp_path):
+    rows = [(i, None if i % 3 else f"a{i}\nb", None if i % 5 else "en", None if i % 7 else "s", i) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    from quire.plans import REGISTRY
+
+    assert REGISTRY["csv_round_trip"].run(spark, str(tmp_path)).count() == 1000
