@@ -7,18 +7,23 @@ round a query is compared with its own ball, so its k-th distance so far is a tr
 bound; in the second it visits only the balls that the bound reaches. In both rounds
 large balls are cut, and in the second small ones are put together, into shelves of
 about ``block_rows`` vectors; queries that visit a shelf are cut into blocks of the
-same size. A shelf and a block of queries are one task, so the copies of a vector are
+same size. A shelf and a block of queries are one group, so the copies of a vector are
 at most the shelves (of a query) or the blocks of queries (of a base vector): a square
 grid, the fewest copies that this memory allows where nothing can be pruned. A block
-pair is compared in NumPy and only the k best of each query leave the task.
+pair is compared in NumPy and only the k best of each query leave the task. Its vectors
+are read where Arrow put them, a bounded number of distances is held at once, and freed
+memory goes back to the system, so a worker's memory depends on the block alone.
 """
 
 from __future__ import annotations
 
+import ctypes
 import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +39,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 16_384
 MAX_PIVOTS = 256
-_CHUNK = 256
+#: Distances held at once (8 MB), and rows whose distances to all pivots are.
+_CELLS, _ROWS = 1 << 20, 1 << 11
 _MARGIN = 1e-9
 
 
@@ -49,6 +55,30 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _slices(column: pd.Series):
+    """The rows as small matrices (start, vectors)."""
+    for start in range(0, len(column), _ROWS):
+        yield start, _matrix(column.iloc[start : start + _ROWS])
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a block, copied only if they lie in several pieces."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    width = len(lists[0])
+    if lists.null_count or not (lists.value_lengths().to_numpy() == width).all():
+        raise ValueError("all vectors must have the same length")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system: workers live on between groups and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def nearest_in_block(
     query: np.ndarray,
     base: np.ndarray,
@@ -67,14 +97,19 @@ def nearest_in_block(
     base_sq = np.square(base).sum(axis=1)
     rank_of_id = np.argsort(np.argsort(base_ids, kind="stable"), kind="stable")
     found = []
-    for start in range(0, len(query), _CHUNK):
-        part = query[start : start + _CHUNK]
+    chunk = max(1, _CELLS // len(base))
+    slack_of = 8.0 * np.finfo(np.float64).eps * base.shape[1]
+    for start in range(0, len(query), chunk):
+        part = query[start : start + chunk]
         part_sq = np.square(part).sum(axis=1)
-        rough = part_sq[:, None] + base_sq[None, :] - 2.0 * (part @ base.T)
+        rough = part @ base.T
+        rough *= -2.0
+        rough += part_sq[:, None]
+        rough += base_sq[None, :]
         if apart is not None:
-            rough[apart[0][start : start + _CHUNK, None] == apart[1][None, :]] = np.inf
+            rough[apart[0][start : start + chunk, None] == apart[1][None, :]] = np.inf
         kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        slack = 8.0 * np.finfo(np.float64).eps * base.shape[1] * (part_sq + base_sq.max())
+        slack = slack_of * (part_sq + base_sq.max())
         for row in range(len(part)):
             near = np.flatnonzero((rough[row] <= kth[row] + 2.0 * slack[row]) & (rough[row] < np.inf))
             exact = np.square(base[near] - part[row]).sum(axis=1)
@@ -125,16 +160,23 @@ def _grid_join(
     query = spread(left, "_left", "_right").withColumnsRenamed({"_own": "_x", "_other": "_y"})
     block = spread(right, "_right", "_left").withColumnsRenamed({"_own": "_y", "_other": "_x"})
 
-    def compare(query: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if query.empty or block.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        ids = block["id"].to_numpy()
+    names = [f.name for f in schema.fields]
+
+    def compare(query: pa.Table, block: pa.Table) -> pa.Table:
+        if not query.num_rows or not block.num_rows:
+            columns = [query["id"].slice(0, 0), block["id"].slice(0, 0), pa.array([], pa.float64())]
+            return pa.table([*columns, *[block[c].slice(0, 0) for c in carry]], names=names)
+        place = np.empty(block.num_rows, np.int64)  # in order of id, null last
+        place[pc.sort_indices(block["id"]).to_numpy()] = np.arange(block.num_rows)
         cells = (query["cell"].to_numpy(), block["cell"].to_numpy()) if apart else None
-        rows, cols, distance = nearest_in_block(_matrix(query["v"]), _matrix(block["v"]), ids, k, cells)
-        out = {"query_id": query["id"].to_numpy()[rows], "base_id": ids[cols], "distance": distance}
-        return pd.DataFrame(out | {c: block[c].to_numpy()[cols] for c in carry})
+        rows, cols, distance = nearest_in_block(_vectors(query["v"]), _vectors(block["v"]), place, k, cells)
+        near = block.select(["id", *carry]).take(pa.array(cols))
+        found = pa.table([query["id"].take(pa.array(rows)), near["id"], pa.array(distance), *[near[c] for c in carry]], names=names)
+        if query.num_rows * block.num_rows > _CELLS:
+            _give_back()
+        return found
 
-    return query.groupBy(*grid).cogroup(block.groupBy(*grid)).applyInPandas(compare, schema)
+    return query.groupBy(*grid).cogroup(block.groupBy(*grid)).applyInArrow(compare, schema)
 
 
 def _best(candidates: DataFrame, k: int) -> DataFrame:
@@ -194,9 +236,11 @@ def knn_join(
 
     @F.pandas_udf("struct<cell:int,away:double>")
     def nearest_pivot(column: pd.Series) -> pd.DataFrame:
-        away = _pivot_distances(_matrix(column), pivots)
-        cell = away.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "away": away[np.arange(len(cell)), cell]})
+        cell, least = np.zeros(len(column), np.int32), np.zeros(len(column))
+        for at, part in _slices(column):
+            away = _pivot_distances(part, pivots)
+            cell[at : at + len(part)], least[at : at + len(part)] = away.argmin(axis=1), away.min(axis=1)
+        return pd.DataFrame({"cell": cell, "away": least})
 
     placed = materialise(
         base.withColumn("p", nearest_pivot("v")).select(*base.columns, "p.cell", "p.away"), "placed"
@@ -211,8 +255,8 @@ def knn_join(
 
     @F.pandas_udf("int")
     def own_ball(column: pd.Series) -> pd.Series:
-        away = _pivot_distances(_matrix(column), pivots)
-        return pd.Series(full[away[:, full].argmin(axis=1)].astype("int32"))
+        found = [full[_pivot_distances(part, pivots)[:, full].argmin(axis=1)] for _, part in _slices(column)]
+        return pd.Series(np.concatenate([[], *found]).astype("int32"))
 
     between = _pivot_distances(pivots, pivots)
     shelf_of, shelves_of = _shelves(count, block_rows)
@@ -229,8 +273,11 @@ def knn_join(
 
     @F.pandas_udf("array<int>")
     def shelves_to_visit(column: pd.Series, cell: pd.Series, bound: pd.Series) -> pd.Series:
-        away = _pivot_distances(_matrix(column), pivots)
-        own, reach = cell.to_numpy(), bound.to_numpy()[:, None]
+        return pd.Series([shelves for at, part in _slices(column) for shelves in visited(at, part, cell.to_numpy(), bound.to_numpy())])
+
+    def visited(at: int, part: np.ndarray, cell: np.ndarray, bound: np.ndarray) -> list[np.ndarray]:
+        away = _pivot_distances(part, pivots)
+        own, reach = cell[at : at + len(part)], bound[at : at + len(part), None]
         nearest = away.argmin(axis=1)
         gap = between[nearest]
         near = away[np.arange(len(away)), nearest][:, None]
@@ -240,7 +287,7 @@ def knn_join(
         visit = (low <= reach * (1.0 + _MARGIN) + _MARGIN) & (count > 0)
         held = np.flatnonzero(own >= 0)
         visit[held, own[held]] = False
-        return pd.Series([_visited(row, shelf_of, shelves_of) for row in visit])
+        return [_visited(row, shelf_of, shelves_of) for row in visit]
 
     on_shelf = F.get(F.array(*[F.lit(int(x)) for x in shelf_of]), F.col("cell")) + F.pmod(
         F.xxhash64("id"), F.get(F.array(*[F.lit(int(x)) for x in shelves_of]), F.col("cell"))
