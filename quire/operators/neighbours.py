@@ -355,10 +355,11 @@ def knn_approximate(
 
     @F.pandas_udf("array<string>")
     def buckets(column: pd.Series) -> pd.Series:
-        places = np.floor((_matrix(column) @ slopes + shifts) / width).astype(np.int64)
-        return pd.Series(
-            [[f"{t}:" + ",".join(map(str, row[t * hashes : (t + 1) * hashes])) for t in range(tables)] for row in places]
-        )
+        found = []
+        for _, part in _slices(column):
+            places = np.floor((part @ slopes + shifts) / width).astype(np.int64)
+            found += [[f"{t}:" + ",".join(map(str, row[t * hashes : (t + 1) * hashes])) for t in range(tables)] for row in places]
+        return pd.Series(found)
 
     left, right = (
         materialise(df.withColumn("bucket", F.explode(buckets("v"))), "buckets") for df in (queries, base)

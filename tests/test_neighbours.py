@@ -43,3 +43,20 @@ def test_vectors_of_unequal_length_are_an_error(spark):
     base = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0])], "id bigint, vector array<double>")
     with pytest.raises(Exception, match="same length"):
         neighbours.knn_join(base.where("id = 1"), base).collect()
+
+
+def test_hash_tables_do_not_depend_on_the_rows_held_at_once(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    data = [(i, (draw.integers(0, 6) * 20 + draw.normal(size=4)).tolist()) for i in range(200)]
+    base = spark.createDataFrame(data, "id bigint, vector array<double>").coalesce(1)
+    queries = base.where("id % 5 = 0")
+
+    def found():
+        near = neighbours.knn_approximate(queries, base, width=12.0, k=3, block_rows=50)
+        return sorted((r.query_id, r["rank"], r.base_id, round(r.distance, 9)) for r in near.collect())
+
+    whole = found()
+    assert len(whole) > 100
+    monkeypatch.setattr(neighbours, "_ROWS", 7)
+    monkeypatch.setattr(neighbours, "_CELLS", 60)
+    assert found() == whole
