@@ -95,6 +95,31 @@ def test_whole_tables_against_brute_force(spark, sf_dir):
     }
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(docs_of):
+    rng = random.Random(9)
+
+    def prose(words):
+        return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(words))
+
+    planted = {}
+    rows = []
+    for size in (390, 399, 400, 401, 420):
+        passage = prose(61)[:size]
+        assert len(passage.split()) > 50 and len(passage) == size
+        for place in ("start", "middle", "end"):
+            # Bytes of its own stand on both sides, so that nothing longer is shared.
+            mark = chr(ord("A") + len(rows))
+            before, after = (prose(80) + mark) * (place != "start"), (mark + prose(80)) * (place != "end")
+            planted[len(rows)] = size if size >= 400 else 0
+            rows.append((len(rows), before + passage + after))
+    rows += [(len(rows) + k, prose(200)) for k in range(5)]
+    found = {r.doc_id: r for r in suffixes.dedup(docs_of(rows), keep_bytes=False).collect()}
+    assert {i: r.n_removed for i, r in found.items()} == {i: planted.get(i, 0) for i, _ in rows}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in found.items()} == {
+        i: v for (i, _), v in by_bytes(rows, 400).items()
+    }
+
+
 def test_texts_join_by_shuffle_with_the_same_rows(docs_of, monkeypatch):
     rows = mixture(5, "abc", " ")
     sent = {tuple(r) for r in factors.dedup(docs_of(rows), length=12, gram=3, keep_text=False).drop("factors").collect()}
