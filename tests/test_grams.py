@@ -47,3 +47,22 @@ def test_bits_hold_all_terms_and_few_others(spark):
     assert held[:1500].all() and held[1500:].mean() < 0.2
     sliced = grams._hashed(words.slice(5, 9))
     assert all(np.array_equal(a[5:14], b) for a, b in zip(grams._hashed(words), sliced))
+
+
+def test_rows_of_a_batch_leave_it_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(grams, "_ROWS", 4)
+    docs = spark.createDataFrame([(i, t.split()) for i, t in TEXTS.items()] + [(9, None), (None, ["a", "b"])], "id bigint, tokens array<string>")
+    model = tfidf.fit_tfidf(docs, 1, ngrams=(1, 2))
+    found = model.transform(docs.coalesce(1))
+    assert "CoGroups" not in found._jdf.queryExecution().toString()  # which holds all rows of a batch at once
+    expected = brute_tfidf({i: with_grams(t.split(), 1, 2) for i, t in TEXTS.items()} | {9: [], None: ["a", "b", "a b"]}, 1, 1.0)
+    assert {(r.id, r.term): r.tfidf for r in found.collect()} == pytest.approx(expected)
+    one = pa.record_batch(
+        [pa.array([0]), pa.array([[7, 8]], pa.list_(pa.int64())), pa.array([3]), grams._packed(np.array([0, 1, 1, 1, 1, 1])), grams._packed(np.ones(6, np.int64))],
+        names=["b", "ids", "many", "steps", "times"],
+    )
+    terms = pa.table({"u": pa.array([2, 0, 1], pa.int32()), "term": ["c", "a", "b"], "idx": [2, 0, 1], "idf": [3.0, 0.0, 4.0]})
+    parts = list(grams._weighed(one, terms, ["id", "term", "idx", "tfidf"]))
+    assert [p.num_rows for p in parts] == [4, 2]
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert rows == [(i, *t) for i in (7, 8) for t in (("a", 0, 0.0), ("b", 1, 0.8), ("c", 2, 0.6))]
