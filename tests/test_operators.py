@@ -436,3 +436,18 @@ def test_numbered_table_of_rows_with_nulls(spark, tmp_path):
     placed = ordering.dense_position(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", "row")
     assert "Join" not in placed._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
     assert REGISTRY["csv_round_trip"].run(spark, str(tmp_path)).count() == 1000
+
+
+def test_weighted_sums_of_a_table_beyond_a_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(23) if i != 7], "idx long, v array<double>")
+    cells = [(None if i % 9 == 4 else i % 9, int(rng.integers(23)), float(rng.normal())) for i in range(300)]
+    rows = spark.createDataFrame(cells, "id long, idx long, w double")
+    whole = {r.id: r.v for r in vectors.weighted_sums(rows, table, "id", "v", "w", 5).collect()}
+    for name, size in (("JOINED", 0), ("SENT", 23 * 8 * 2), ("PIECE", 8 * 2 * 6)):
+        monkeypatch.setattr(vectors, name, size)
+    found = vectors.weighted_sums(rows, table, "id", "v", "w", 5)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+    got = {r.id: r.v for r in found.collect()}
+    assert set(got) == set(whole) == {*range(9)} - {4} | {None}
+    assert all(got[k] == pytest.approx(whole[k]) for k in got)
